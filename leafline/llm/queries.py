@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, topk
+from . import chat, mixing, topk, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
     "op2_chat_snapshots": chat.op2_query,
     "op3_threshold_topk": topk.op3_query,
+    "op9_warc_archives": warc.op9_query,
 }
 
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_chat_snapshots": chat.OP2_SQL,
     "op3_threshold_topk": topk.OP3_SQL,
+    "op9_warc_archives": warc.OP9_SQL,
 }
