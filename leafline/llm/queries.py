@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, topk, warc
+from . import chat, langid, mixing, topk, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
     "op2_chat_snapshots": chat.op2_query,
     "op3_threshold_topk": topk.op3_query,
+    "op4_language_spans": langid.op4_query,
     "op9_warc_archives": warc.op9_query,
 }
 
