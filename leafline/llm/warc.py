@@ -24,7 +24,6 @@ DICTIONARY_BYTES = 32 << 10
 #: Records of an archive that its dictionary is built from: their count and bytes at most.
 SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 2 << 20
-ARCHIVE_BYTES = 64 << 20
 
 
 def base32_sha1(data: bytes) -> str:
@@ -69,7 +68,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
 
 
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frames of archives: for each about ``ARCHIVE_BYTES`` of records, a dictionary frame, then a frame a record."""
+    """The frames of one archive, which holds the records of one partition: a dictionary frame, then a frame a record."""
 
     def records() -> Iterator[bytes]:
         for batch in batches:
@@ -102,10 +101,10 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes a WARC record for each row of ``pages`` (page_id, url, html) to archives under ``path``.
 
-    An archive is a file of Zstandard frames: first a skippable frame with the
+    An archive holds one partition of the rows and is a file of Zstandard frames: first a skippable frame with the
     (compressed) dictionary that was built from the archive's own first records, then
     a frame for each record. Spark's text writer puts an empty skippable frame
     after each, so the files are valid streams that any Hadoop file system can hold.
@@ -116,16 +115,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     reads back as one; a null page_id is smaller than any other. Extra columns are
     ignored; an empty table writes no archive.
     """
-    spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
     firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n"))
     firsts = firsts.where("n > 1 and winner is not null").select("sha1", "winner")
     marked = rows.join(firsts, "sha1", "left").withColumn("refers_to", F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))).drop("winner")
     marked = marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-total // archive_bytes))
-    frames = marked.repartition(parts, "page_id").mapInArrow(_frames, "frame binary")
+    frames = marked.mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin1")).option("compression", "none").text(path)
 
 
