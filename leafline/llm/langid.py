@@ -74,6 +74,7 @@ class Words:
         codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         self.row_starts = heads[offsets]
+        self.codes = codes
         n = len(codes)
         inside = letter[codes]
         edge = np.zeros(n + 1, dtype=bool)
@@ -86,7 +87,7 @@ class Words:
         self.rows = np.searchsorted(self.row_starts, self.starts, "right") - 1
         self.letters = self.ends - self.starts
         if not len(self.starts):
-            self.scripts, self.buckets, self.gram_starts = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.scripts, self.buckets, self.gram_starts, self.flat = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             return
         self.scripts = script[codes[self.starts]]
         # the letters of all words side by side, each word followed by one 0
@@ -98,6 +99,7 @@ class Words:
         two[one == 0] = 0
         self.buckets = (mix((two << np.uint64(42)) | (one << np.uint64(21)) | flat) >> np.uint64(64 - BITS)).astype(np.int64)
         self.gram_starts = np.concatenate(([0], np.cumsum(self.letters + 1)[:-1]))
+        self.flat = flat
 
 
 def learn(docs: DataFrame, per_label: int = TRAIN_DOCS) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, mixing, topk, warc
+from . import chat, langid, mixing, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_threshold_topk": topk.op3_query,
     "op4_language_spans": langid.op4_query,
     "op9_warc_archives": warc.op9_query,
+    "op10_toxicity_mil": toxicity.op10_query,
 }
 
 SQL = {
