@@ -26,6 +26,8 @@ PRUNE_AFTER = 30
 RATE = 0.5
 L1 = 0.5
 OFFENDING = 0.5
+#: Of the sentence ends within so many words the first counts, so that runs of one-word sentences stay together.
+SHORTEST = 8
 #: Characters that end a sentence (fixed values).
 STOPS = np.array([0x0A, 0x21, 0x2E, 0x3F, 0x3002, 0xFF01, 0xFF1F, 0x0964], dtype=np.uint32)
 
@@ -52,8 +54,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
             out[has, 1 + PREFIXES.index(k + 1)] = (mix(run[has] + np.uint64(k + 1)) >> shift).astype(np.int64)
     stops = np.flatnonzero(np.isin(w.codes, STOPS))
     before = np.searchsorted(stops, w.starts)
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = (before[1:] != before[:-1]) | (w.rows[1:] != w.rows[:-1])
+    new_row = np.ones(n, dtype=bool)
+    new_row[1:] = w.rows[1:] != w.rows[:-1]
+    at = np.arange(n)
+    cell = (at - np.maximum.accumulate(np.where(new_row, at, 0))) // SHORTEST
+    ends = np.flatnonzero((before[1:] != before[:-1]) & ~new_row[1:]) + 1
+    first = np.ones(len(ends), dtype=bool)
+    first[1:] = (cell[ends[1:]] != cell[ends[:-1]]) | (w.rows[ends[1:]] != w.rows[ends[:-1]])
+    fresh = new_row
+    fresh[ends[first]] = True
     return w, out, np.cumsum(fresh) - 1
 
 
