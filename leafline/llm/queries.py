@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, secrets, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_threshold_topk": topk.op3_query,
     "op4_language_spans": langid.op4_query,
     "op6_jaccard_groups": jaccard.op6_query,
+    "op7_secret_trigrams": secrets.op7_query,
     "op8_suffix_decontamination": decontaminate.op8_query,
     "op9_warc_archives": warc.op9_query,
     "op10_toxicity_mil": toxicity.op10_query,
@@ -20,6 +21,7 @@ SQL = {
     "op2_chat_snapshots": chat.OP2_SQL,
     "op3_threshold_topk": topk.OP3_SQL,
     "op6_jaccard_groups": jaccard.OP6_SQL,
+    "op7_secret_trigrams": secrets.OP7_SQL,
     "op8_suffix_decontamination": decontaminate.OP8_SQL,
     "op9_warc_archives": warc.OP9_SQL,
 }
