@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, secrets, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
     "op2_chat_snapshots": chat.op2_query,
     "op3_threshold_topk": topk.op3_query,
     "op4_language_spans": langid.op4_query,
+    "op5_label_shards": sharding.op5_query,
     "op6_jaccard_groups": jaccard.op6_query,
     "op7_secret_trigrams": secrets.op7_query,
     "op8_suffix_decontamination": decontaminate.op8_query,
