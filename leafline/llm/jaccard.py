@@ -32,6 +32,8 @@ TIER_BITS = 20
 WANTED_BITS = 24
 #: A shingle in so many of a batch's sets (and this share of them) is reported as possibly frequent.
 FREQUENT, FREQUENT_SHARE = 6, 0.001
+#: Cells that a set's shingles are counted in.
+CELLS = 128
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -117,7 +119,7 @@ def _tiers(frequent: DataFrame) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.ndarray) -> DataFrame:
-    """id, n, prefix array<long> (heavy), subsets array<struct<o, s, t>> (light) of each row with a set."""
+    """id, n, prefix array<long> (heavy), subsets array<struct<o, s, t>> (light), cells array<int> of each row with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(tiers)
     low = -(-percent * (edge + 1) // 100)
     subset = pa.struct([("o", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
@@ -126,9 +128,10 @@ def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.
         table = shared.value
         for batch in batches:
             for i, n, values, of in _sets(batch, width):
+                cells = np.bincount(of * CELLS + (values & np.uint64(CELLS - 1)).astype(np.int64), minlength=n * CELLS)
                 # rarest first: by tier, then by value
-                order = np.lexsort((values, table[(values >> np.uint64(64 - TIER_BITS)).astype(np.int64)], of))
-                values = values[order]
+                tier = table[(values >> np.uint64(64 - TIER_BITS)).astype(np.int64)]
+                values = values[np.argsort(of * 64 + tier, kind="stable")]
                 sizes = np.bincount(of, minlength=n)
                 begins = np.concatenate(([0], np.cumsum(sizes)))
                 length = np.where(sizes >= max(1, low), prefix_length(sizes, percent), 0)
@@ -143,10 +146,11 @@ def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.
                         for gone in combinations(range(len(mine)), len(mine) - o):
                             key = [(sum(x) - sum(x[g] for g in gone)) & 0xFFFFFFFFFFFFFFFF for x in (s, t)]
                             light[r].append({"o": o, "s": key[0] - (1 << 64) * (key[0] >> 63), "t": key[1] - (1 << 64) * (key[1] >> 63)})
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), prefixes, pa.array(light, pa.list_(subset))], names=["id", "n", "prefix", "subsets"])
+                counted = pa.ListArray.from_arrays(pa.array(np.arange(0, n * CELLS + 1, CELLS), pa.int32()), pa.array(cells, pa.int32()))
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), prefixes, pa.array(light, pa.list_(subset)), counted], names=["id", "n", "prefix", "subsets", "cells"])
                 yield rows.filter(pa.array(sizes > 0))
 
-    return docs.mapInArrow(run, "id long, n long, prefix array<long>, subsets array<struct<o:int,s:bigint,t:bigint>>")
+    return docs.mapInArrow(run, "id long, n long, prefix array<long>, subsets array<struct<o:int,s:bigint,t:bigint>>, cells array<int>")
 
 
 def _light_links(light: DataFrame, percent: int) -> DataFrame:
@@ -197,11 +201,22 @@ def _shingle_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, items array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by the exact sizes of their intersections and unions."""
-    x = sets.select(F.col("id").alias("a"), F.col("items").alias("xs"))
-    y = sets.select(F.col("id").alias("b"), F.col("items").alias("ys"))
-    both = pairs.select("a", "b").join(x, "a").join(y, "b")
+def _verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, width: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that link, by the exact sizes of their intersections and unions.
+
+    Before any set is made, a pair is dropped if the counts of its shingles by cell differ by more
+    in sum than linked sets of these sizes can differ; few unlinked pairs pass. Sets are
+    made anew from the texts of the ids that are left.
+    """
+    x = cells.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+    y = cells.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(total * percent / (100 + percent))
+    close = stored(pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b"), "jaccard-close")
+    sets = stored(_shingle_sets(docs, width, close), "jaccard-sets")
+    sets = sets.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    both = close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.where(shared * (100 + percent) >= (F.size("xs") + F.size("ys")) * percent).select("a", "b")
 
@@ -221,8 +236,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with equal sets are one from the start. Light sets link through shared
     subsets, exactly and without comparing pairs. Heavy sets enter the inverted lists of their
     rarest shingles; each list is first compared with its smallest id only, then, in rounds, in
-    blocks of ``BLOCK`` members, only where they are not yet connected; the
-    pairs that are still unconnected in long lists are compared last, all of them. So no link
+    blocks of ``BLOCK`` members, only where they are not yet connected; once a
+    round finds nothing (or after ``ROUNDS``), the pairs that are still unconnected in long lists are compared last, all of them. So no link
     between components is lost, and a group of like texts costs about one comparison a member.
 
     Null and empty texts and texts of white space have no set and link with nothing;
@@ -244,36 +259,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = entries.select("id", "n", F.explode("prefix").alias("token"))
     counts = heavy.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1")
     lists = stored(heavy.join(counts, "token"), "jaccard-lists")
+    cells = stored(entries.select("id", "n", "cells").join(lists.select("id").distinct(), "id", "left_semi"), "jaccard-cells")
     discard(entries)
-    nodes = lists.groupBy("id").agg(F.min("n").alias("n"))
-
-    hubs = lists.where("id <> hub").select("hub", "id", "n").distinct().alias("x").join(nodes.alias("y"), F.col("x.hub") == F.col("y.id"))
-    pairs = stored(hubs.where(_fits(percent)).select(F.col("x.hub").alias("a"), F.col("x.id").alias("b")), "jaccard-pairs")
-    sets = stored(_shingle_sets(docs, width, lists.select(F.col("id").alias("a"), F.col("hub").alias("b"))).join(firsts.select("id"), "id", "left_semi").dropDuplicates(["id"]), "jaccard-sets")
-    links = stored(links.unionByName(_verified(pairs, sets, percent)), "jaccard-links")
 
+    stars = lists.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    links = stored(links.unionByName(_verified(docs, stars, cells, width, percent)), "jaccard-links")
     found = components(links)
-    for k in range(1, ROUNDS + 2):
-        left = lists.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
-        # lists that still hold more than one component
-        open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo < hi").select("token", "main") if k > ROUNDS else left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        if k > 1:
-            left = left.where(F.col("c") > BLOCK)
+    k, last = 1, False
+    while True:
+        left = lists if k == 1 else lists.where(F.col("c") > BLOCK)
+        left = left.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
+        # lists that still hold more than one component, and the one that most of their members are in
+        main = F.mode("comp") if last else F.min("comp")
+        open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), main.alias("main")).where("lo < hi").select("token", "main")
         left = stored(left.join(open_, "token"), "jaccard-open")
-        if k <= ROUNDS:
+        differ = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent)
+        if last:
+            near = left.where("comp <> main").alias("x").join(left.alias("y"), differ)
+        else:
             blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("c") / BLOCK)))).cast("long")
             cell = left.withColumn("block", F.pmod(F.xxhash64(F.lit(k), F.col("id")), blocks))
-            near = cell.alias("x").join(cell.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent))
-        else:
-            near = left.where("comp <> main").alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent))
-        pairs = stored(near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "jaccard-pairs")
-        new = stored(_verified(pairs, sets, percent), "jaccard-new")
+            near = cell.alias("x").join(cell.alias("y"), differ & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")))
+        pairs = near.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        new = stored(_verified(docs, pairs, cells, width, percent), "jaccard-new")
         fresh = new.limit(1).count() > 0
         if fresh:
             links = stored(links.unionByName(new), "jaccard-links")
             found = components(links)
-        if not left.where(F.col("c") > BLOCK).limit(1).count():
+        if last or not left.where(F.col("c") > BLOCK).limit(1).count():
             break
+        k += 1
+        last = k > ROUNDS or (k > 2 and not fresh)
     whole = rows.join(reps, ["n", "a", "b"], "left").join(found, F.col("rep") == F.col("node"), "left")
     return whole.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 

@@ -145,11 +145,13 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> t
 
 
 def distinct_by_row(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, value), sorted by row, then value."""
+    """Distinct (row, value) of values in order of row, sorted by row, then value."""
     if not len(values):
         return values, rows
-    order = np.lexsort((values, rows))
-    values, rows = values[order], rows[order]
-    keep = np.ones(len(values), dtype=bool)
-    keep[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
-    return values[keep], rows[keep]
+    out = values.copy()
+    begins = np.append(np.flatnonzero(np.diff(rows, prepend=-1)), len(rows)).tolist()
+    for a, b in zip(begins, begins[1:], strict=False):
+        out[a:b].sort()
+    keep = np.ones(len(out), dtype=bool)
+    keep[1:] = (out[1:] != out[:-1]) | (rows[1:] != rows[:-1])
+    return out[keep], rows[keep]
