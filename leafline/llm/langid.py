@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textnp import column_bytes, mix, row_groups
 
@@ -211,26 +212,29 @@ def label_words(scores: np.ndarray, begins: np.ndarray, penalty: float) -> np.nd
     return labels
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
-    """id, lang string, score double, spans array<struct<start, end, lang>> of each row.
+def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """``docs`` with lid_lang string, lid_score double, lid_spans array<struct<start, end, lang>>.
 
     The script of a word's first letter leaves the languages that use that script
     (all, if none does); its score for each is the sum of its letter trigrams'
     log probabilities; Viterbi with a penalty for each change of language labels the
     words, and spans are the stretches of one label, in code points, end exclusive.
-    ``lang`` has the most letters (ties: the first by name); ``score`` is its share
+    lid_lang has the most letters (ties: the first by name); lid_score is its share
     of the letters times its softmax share of the text's mean word score. Null texts and texts
     without a letter are ``und`` with score 0 and no spans, as is every text if nothing was learned.
-    Whole texts are read, of any length; repeated rows are labelled alike; other columns are ignored.
+    Whole texts are read, of any length; repeated rows are labelled alike; other columns
+    pass through, but those with the names of the three results are replaced.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
+    docs = docs.drop("lid_lang", "lid_score", "lid_spans")
+    n_plain, names = len(docs.columns), [*docs.columns, "lid_lang", "lid_score", "lid_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs, logp, scripts = m["langs"], m["logp"], m["scripts"]
         for batch in batches:
-            data, offsets = column_bytes(batch, "text")
+            data, offsets = column_bytes(batch, text_col)
             for i, j in row_groups(offsets):
                 w = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = j - i
@@ -262,12 +266,12 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                         mine = float(o[top[r]])
                         score[r] = min(1.0, max(0.0, s * max(mine, 1 / len(langs))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))],
-                    names=["id", "lang", "score", "spans"],
+                    [*(batch.column(c).slice(i, n) for c in range(n_plain)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))],
+                    names=names,
                 )
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    own = T._parse_datatype_string("lid_lang string, lid_score double, lid_spans array<struct<start:int,end:int,lang:string>>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *own.fields]))
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -281,5 +285,11 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), learn(learnable(docs)))
+    return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and whose language is told with a score of ``least`` or more."""
     found = identify(docs, learn(learnable(docs)))
-    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+    return found.where((F.col("lid_lang") != UNDETERMINED) & (F.col("lid_score") >= least)).select(*docs.columns)
