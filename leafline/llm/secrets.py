@@ -106,10 +106,21 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def build_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The inverted index: a row (trigram, id) for each of ``trigrams`` that a text holds, A-Z lower-cased."""
-    low = docs.select(F.col(id_col).alias("id"), F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("low"))
-    held = low.select("id", F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams])).alias("held"))
-    return held.where("id is not null").select(F.explode("held").alias("trigram"), "id").distinct()
+    """The inverted index: a row (trigram, id) for each of ``trigrams`` that a lower-cased text holds.
+
+    The texts are read once, into whole numbers with a bit for each trigram; these are
+    written before they are spread into postings, so that no later step looks at a text again.
+    """
+    low = F.lower(text_col)
+    masks = []
+    for at in range(0, len(trigrams), 60):
+        mask = F.lit(0).cast("long")
+        for k, t in enumerate(trigrams[at : at + 60]):
+            mask = mask + F.when(F.contains(low, F.lit(t)), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
+        masks.append(mask.alias(f"m{at // 60}"))
+    marks = stored(docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), *masks), "trigram-marks")
+    held = F.array_compact(F.array(*[F.when(F.col(f"m{k // 60}").bitwiseAND(F.lit(1 << (k % 60))) != 0, F.lit(t)) for k, t in enumerate(trigrams)]))
+    return marks.select(F.explode(held).alias("trigram"), "id").distinct()
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -129,7 +140,6 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """
     pattern = F.lit(rule.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
     none = F.array().cast(kind)
 
@@ -137,7 +147,10 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
         start = F.position(m["m"], text, state["next"])
         return F.struct((start + F.length(m["m"])).alias("next"), F.concat(state["out"], F.when(F.length(m["g"]) >= rule.least, F.array(F.struct((start - 1).alias("start"), F.lit(order).alias("rank"), F.lit(rule.kind).alias("kind"), (start - 1 + F.length(m["m"])).alias("end"))).cast(kind)).otherwise(none)).alias("out"))
 
-    pairs = F.zip_with(whole, group, lambda a, b: F.struct(a.alias("m"), b.alias("g")))
+    if rule.group:
+        pairs = F.zip_with(whole, F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda a, b: F.struct(a.alias("m"), b.alias("g")))
+    else:
+        pairs = F.transform(whole, lambda a: F.struct(a.alias("m"), a.alias("g")))
     return F.aggregate(pairs, F.struct(F.lit(1).alias("next"), none.alias("out")), step, lambda s: s["out"])
 
 
