@@ -28,10 +28,10 @@ LARGEST_LIGHT = 40
 BLOCK = 32
 ROUNDS = 5
 #: Slots of the table of frequent shingles and bits of the table of wanted ids; both are broadcast.
-TIER_BITS = 20
+TIER_BITS = 22
 WANTED_BITS = 24
-#: A shingle in so many of a batch's sets (and this share of them) is reported as possibly frequent.
-FREQUENT, FREQUENT_SHARE = 6, 0.001
+#: A shingle in so many sets of one batch is reported as frequent.
+FREQUENT = 2
 #: Cells that a set's shingles are counted in.
 CELLS = 128
 
@@ -103,7 +103,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), _signed(_by_row(mix(values), of, n)), _signed(_by_row(mix(values + np.uint64(77)), of, n))], names=["id", "n", "a", "b"])
             if every:
                 values, counts = np.unique(np.concatenate(every), return_counts=True)
-                often = counts >= max(FREQUENT, FREQUENT_SHARE * batch.num_rows)
+                often = counts >= FREQUENT
                 if often.any():
                     yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64()), _signed(values[often]), pa.array(counts[often], pa.int64())], names=["id", "n", "a", "b"])
 
@@ -119,7 +119,7 @@ def _tiers(frequent: DataFrame) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.ndarray) -> DataFrame:
-    """id, n, prefix array<long> (heavy), subsets array<struct<o, s, t>> (light), cells array<int> of each row with a set."""
+    """id, n, prefix array<long> (heavy), subsets array<struct<o, s, t>> (light), cells array<int>, and u and v (16 coarse cells of a byte each) of each row with a set."""
     shared = docs.sparkSession.sparkContext.broadcast(tiers)
     low = -(-percent * (edge + 1) // 100)
     subset = pa.struct([("o", pa.int32()), ("s", pa.int64()), ("t", pa.int64())])
@@ -129,6 +129,7 @@ def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.
         for batch in batches:
             for i, n, values, of in _sets(batch, width):
                 cells = np.bincount(of * CELLS + (values & np.uint64(CELLS - 1)).astype(np.int64), minlength=n * CELLS)
+                coarse = np.minimum(cells.reshape(n, CELLS // 16, 16).sum(1), 255).astype(np.uint8)
                 # rarest first: by tier, then by value
                 tier = table[(values >> np.uint64(64 - TIER_BITS)).astype(np.int64)]
                 values = values[np.argsort(of * 64 + tier, kind="stable")]
@@ -147,10 +148,10 @@ def _candidates(docs: DataFrame, width: int, percent: int, edge: int, tiers: np.
                             key = [(sum(x) - sum(x[g] for g in gone)) & 0xFFFFFFFFFFFFFFFF for x in (s, t)]
                             light[r].append({"o": o, "s": key[0] - (1 << 64) * (key[0] >> 63), "t": key[1] - (1 << 64) * (key[1] >> 63)})
                 counted = pa.ListArray.from_arrays(pa.array(np.arange(0, n * CELLS + 1, CELLS), pa.int32()), pa.array(cells, pa.int32()))
-                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), prefixes, pa.array(light, pa.list_(subset)), counted], names=["id", "n", "prefix", "subsets", "cells"])
+                rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), prefixes, pa.array(light, pa.list_(subset)), counted, _signed(coarse[:, :8].copy().view(np.uint64).ravel()), _signed(coarse[:, 8:].copy().view(np.uint64).ravel())], names=["id", "n", "prefix", "subsets", "cells", "u", "v"])
                 yield rows.filter(pa.array(sizes > 0))
 
-    return docs.mapInArrow(run, "id long, n long, prefix array<long>, subsets array<struct<o:int,s:bigint,t:bigint>>, cells array<int>")
+    return docs.mapInArrow(run, "id long, n long, prefix array<long>, subsets array<struct<o:int,s:bigint,t:bigint>>, cells array<int>, u long, v long")
 
 
 def _light_links(light: DataFrame, percent: int) -> DataFrame:
@@ -210,10 +211,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, width: int, p
     """
     x = cells.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
     y = cells.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-    apart = F.aggregate(F.zip_with("ca", "cb", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
-    total = F.col("na") + F.col("nb")
-    most = total - 2 * F.ceil(total * percent / (100 + percent))
-    close = stored(pairs.join(x, "a").join(y, "b").where(apart <= most).select("a", "b"), "jaccard-close")
+    close = stored(pairs.join(x, "a").join(y, "b").where(_near("na", "ca", "nb", "cb", percent)).select("a", "b"), "jaccard-close")
     sets = stored(_shingle_sets(docs, width, close), "jaccard-sets")
     sets = sets.join(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
     both = close.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
@@ -221,8 +219,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, cells: DataFrame, width: int, p
     return both.where(shared * (100 + percent) >= (F.size("xs") + F.size("ys")) * percent).select("a", "b")
 
 
-def _fits(percent: int):
-    return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+def _near(n: str, cells: str, m: str, others: str, percent: int):
+    """Whether counts by cell differ by no more in sum than linked sets of these sizes can."""
+    apart = F.aggregate(F.zip_with(cells, others, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, v: s + v)
+    total = F.col(n) + F.col(m)
+    return apart <= total - 2 * F.ceil(total * percent / (100 + percent))
+
+
+def _fits(x: str, y: str, percent: int):
+    """Whether sets of these sizes can link, and their coarse cells allow it."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    byte = lambda side, name, k: F.shiftright(c(side, name), 8 * k).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(byte(x, w, k) - byte(y, w, k)) for w in "uv" for k in range(8)), F.lit(0))
+    total = c(x, "n") + c(y, "n")
+    return (c(x, "n") * 100 >= c(y, "n") * percent) & (c(y, "n") * 100 >= c(x, "n") * percent) & (apart <= total - 2 * F.ceil(total * percent / (100 + percent)))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -256,24 +266,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     entries = stored(_candidates(docs, width, percent, edge, tiers).join(firsts, ["id", "n"], "left_semi").dropDuplicates(["id", "n"]), "jaccard-entries")
     links = stored(_light_links(entries.where(F.size("subsets") > 0), percent), "jaccard-links")
 
-    heavy = entries.select("id", "n", F.explode("prefix").alias("token"))
-    counts = heavy.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1")
+    heavy = entries.select("id", "n", "u", "v", F.explode("prefix").alias("token"))
+    counts = heavy.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "u", "v")).alias("hub")).where("c > 1")
     lists = stored(heavy.join(counts, "token"), "jaccard-lists")
     cells = stored(entries.select("id", "n", "cells").join(lists.select("id").distinct(), "id", "left_semi"), "jaccard-cells")
     discard(entries)
 
-    stars = lists.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = lists.where("id <> hub.id").select("hub", F.struct("id", "n", "u", "v").alias("own")).where(_fits("hub", "own", percent)).select(F.col("hub.id").alias("a"), F.col("own.id").alias("b")).distinct()
     links = stored(links.unionByName(_verified(docs, stars, cells, width, percent)), "jaccard-links")
     found = components(links)
     k, last = 1, False
     while True:
         left = lists if k == 1 else lists.where(F.col("c") > BLOCK)
-        left = left.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "c", F.coalesce("component", "id").alias("comp"))
+        left = left.join(found, F.col("id") == F.col("node"), "left").select("token", "id", "n", "u", "v", "c", F.coalesce("component", "id").alias("comp"))
         # lists that still hold more than one component, and the one that most of their members are in
         main = F.mode("comp") if last else F.min("comp")
         open_ = left.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), main.alias("main")).where("lo < hi").select("token", "main")
-        left = stored(left.join(open_, "token"), "jaccard-open")
-        differ = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent)
+        left = left.join(open_, "token")
+        left = stored(left.join(cells.select("id", "cells"), "id") if k > 1 else left, "jaccard-open")
+        differ = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _fits("x", "y", percent)
+        differ = differ & _near("x.n", "x.cells", "y.n", "y.cells", percent) if k > 1 else differ
         if last:
             near = left.where("comp <> main").alias("x").join(left.alias("y"), differ)
         else:
