@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
