@@ -33,12 +33,14 @@ def wanted_moves(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def grant(wanted: list[tuple[int, int, int, int]], load: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:
-    """(from, to, bin) of the moves that the capacity quotas allow, one bin of groups after the other.
+    """(from, to, bin) of the moves that the capacity quotas allow, one bin of groups after the other, those with most rows first.
 
     ``wanted`` has (bin, from, to, rows), of bounded length: bins times pairs of shards.
     """
-    load, out = defaultdict(int, load), []
-    for bin_, a, b, w in sorted(wanted):
+    load, out, size = defaultdict(int, load), [], defaultdict(int)
+    for bin_, _, _, w in wanted:
+        size[bin_] += w
+    for bin_, a, b, w in sorted(wanted, key=lambda m: (-size[m[0]], m)):
         if load[b] + w <= capacity:
             load[b] += w
             load[a] -= w
@@ -78,8 +80,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, id
     """id, size long, text_crc32 long, shard int, slot long, then ``carry``, for each row of ``docs``.
 
     Rows with equal texts are linked. Linked documents start in a shard by a hash and move towards
-    their neighbours' shards by balanced label propagation; a group of more than half a shard's
-    rows is first dealt into parts by a hash, as no shard could hold it. Unlinked rows then fill
+    their neighbours' shards by balanced label propagation; a group of more rows than a
+    shard is first dealt into parts by a hash, as no shard could hold it. Unlinked rows then fill
     every shard to the same number of rows (at most one apart), with gapless slots from 0. All ranks are
     counted within bins of a hash and offset by the bins before, so no
     task ranks a whole shard.
@@ -102,7 +104,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, id
     total = rows.count()
     capacity = total // n_shards
     linked = rows.where("grp is not null").groupBy("grp").agg(F.count("*").alias("c")).where("c > 1")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("c") * 2 / max(1, capacity))).cast("long")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("c") / max(1, capacity))).cast("long")
     members = rows.where("grp is not null").join(linked, "grp").select(F.col("id").alias("node"), "grp", F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), parts).cast("int").alias("part"))
     members = stored(members.groupBy("node", "grp", "part").agg(F.count("*").alias("w")), "shard-members")
     labels = propagate(members, n_shards, capacity, rounds)
