@@ -220,7 +220,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
     log probabilities; Viterbi with a penalty for each change of language labels the
     words, and spans are the stretches of one label, in code points, end exclusive.
     lid_lang has the most letters (ties: the first by name); lid_score is its share
-    of the letters times its softmax share of the text's mean word score. Null texts and texts
+    of the letters times its softmax share of the score of the words so labelled. Null texts and texts
     without a letter are ``und`` with score 0 and no spans, as is every text if nothing was learned.
     Whole texts are read, of any length; repeated rows are labelled alike; other columns
     pass through, but those with the names of the three results are replaced.
@@ -250,7 +250,9 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                     np.add.at(weight, (w.rows, labels), w.letters)
                     filled = np.flatnonzero(np.diff(begins))
                     top = weight.argmax(1)
-                    means = np.add.reduceat(scores, begins[:-1][filled], axis=0) / np.sqrt(np.diff(begins)[filled])[:, None]
+                    mine = labels == top[w.rows]
+                    sums = np.stack([np.bincount(w.rows[mine], scores[mine, k], minlength=n) for k in range(len(langs))], 1)
+                    means = (sums / np.sqrt(np.maximum(1, np.bincount(w.rows[mine], minlength=n)))[:, None])[filled]
                     odds = np.exp(means - means.max(1, keepdims=True))
                     odds /= odds.sum(1, keepdims=True)
                     share = weight[filled, top[filled]] / weight[filled].sum(1)
@@ -263,8 +265,7 @@ def identify(docs: DataFrame, model: dict, text_col: str = "text", penalty: floa
                         spans[r].append({"start": int(w.starts[a] - w.row_starts[r]), "end": int(w.ends[b] - w.row_starts[r]), "lang": langs[labels[a]]})
                     for r, s, o in zip(filled.tolist(), share.tolist(), odds, strict=True):
                         pred[r] = langs[top[r]]
-                        mine = float(o[top[r]])
-                        score[r] = min(1.0, max(0.0, s * max(mine, 1 / len(langs))))
+                        score[r] = min(1.0, max(0.0, s * max(float(o[top[r]]), 1 / len(langs))))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, n) for c in range(n_plain)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])))],
                     names=names,
