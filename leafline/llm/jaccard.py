@@ -30,8 +30,10 @@ ROUNDS = 5
 #: Slots of the table of frequent shingles and bits of the table of wanted ids; both are broadcast.
 TIER_BITS = 22
 WANTED_BITS = 24
-#: A shingle in so many sets of one batch is reported as frequent.
+#: A shingle in so many sets of those that are counted together is reported as frequent.
 FREQUENT = 2
+#: Shingles of sets that are counted together, about.
+COUNTED_TOGETHER = 3_000_000
 #: Cells that a set's shingles are counted in.
 CELLS = 128
 
@@ -96,16 +98,18 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = []
+            every, held = [], 0
             for i, n, values, of in _sets(batch, width):
                 every.append(values)
+                held += len(values)
                 sizes = np.bincount(of, minlength=n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(sizes, pa.int64()), _signed(_by_row(mix(values), of, n)), _signed(_by_row(mix(values + np.uint64(77)), of, n))], names=["id", "n", "a", "b"])
-            if every:
-                values, counts = np.unique(np.concatenate(every), return_counts=True)
-                often = counts >= FREQUENT
-                if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.nulls(int(often.sum()), pa.int64()), _signed(values[often]), pa.array(counts[often], pa.int64())], names=["id", "n", "a", "b"])
+                if held >= COUNTED_TOGETHER or i + n == batch.num_rows:
+                    values, counts = np.unique(np.concatenate(every), return_counts=True)
+                    every, held, often = [], 0, counts >= FREQUENT
+                    if often.any():
+                        none = pa.nulls(int(often.sum()), pa.int64())
+                        yield pa.RecordBatch.from_arrays([none, none, _signed(values[often]), pa.array(counts[often], pa.int64())], names=["id", "n", "a", "b"])
 
     return docs.mapInArrow(run, "id long, n long, a long, b long")
 
