@@ -93,3 +93,10 @@ CAST(round_even(least(greatest((x.m - x.t) * CASE WHEN x.k % 2 = 0 THEN 0.68 ELS
 w AS (SELECT *, min(seq) FILTER (event IN ('failed', 'succeeded')) OVER (PARTITION BY job_id) AS fin FROM e)
 SELECT job_id, CASE arg_max(event, seq) WHEN 'step' THEN 'running' ELSE arg_max(event, seq) END AS status, max(seq) AS last_seq, CAST(count(DISTINCT step) FILTER (event = 'step') AS INTEGER) AS steps FROM w WHERE fin IS NULL OR seq <= fin GROUP BY 1""",
 }
+
+SQL |= {
+    "verification": """WITH f AS (SELECT user_id AS doc_id, event_id, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS a, CASE WHEN event_id % 5 = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS b FROM events),
+g AS (SELECT doc_id, avg(a) AS s, avg(b) AS o, count(*) AS n, count(*) FILTER (a < 0.72 OR b < 0.72) AS weak, coalesce(string_agg('f' || event_id, ',' ORDER BY 'f' || event_id) FILTER (event_id IN (5, 11) AND (a < 0.648 OR b < 0.648)), '') AS c FROM f GROUP BY 1)
+SELECT doc_id, round(s, 6) AS source, round(o, 6) AS output, round(((s + o) / 2 + 0.9::DOUBLE) / 2 * 0.92::DOUBLE, 6) AS overall, weak, c AS critical_failures, s >= 0.72 AND o >= 0.72 AND weak <= greatest(1, n // 4) AND c = '' AS passed FROM g""",
+    "borrowed_values": "WITH v AS (SELECT user_id AS doc_id, event_id, event_type FROM events WHERE event_id % 5 = 0), t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, event_type) AS n FROM v) SELECT doc_id, CAST(event_id AS VARCHAR) AS source_key FROM t WHERE n > 1",
+}

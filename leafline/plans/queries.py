@@ -301,3 +301,31 @@ QUERIES = {f.__name__: f for f in (
     coalesce_segments, family_resolution, preferred_value, best_candidate, nearest_context, box_overlap, box_distance, routing_strategy, text_density,
     keyword_identity, code_lookup, confidence_derive, job_state, similarity, fuzzy_assign, box_assign, text_fit, rule_pipeline,
 )}
+
+
+def _fields(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(F.col("user_id").alias("doc_id"), F.col("event_id"), F.col("event_type"), (F.col("event_id") % 5).alias("r"))
+
+
+def verification(spark, d):
+    from ..operators import verify
+
+    e = _fields(spark, d)
+    half = lambda m: F.when(F.col("r") == m, F.lit("")).otherwise(F.col("event_type"))
+    name = F.concat(F.lit("f"), F.col("event_id").cast("string"))
+    fields = e.select("doc_id", name.alias("name"), F.lit(1).alias("page_number"), F.col("event_type").alias("expected"), F.lit(False).alias("numeric"))
+    seen = lambda m: e.select("doc_id", name.alias("name"), F.lit(1).alias("page_number"), half(m).alias("observed"))
+    shape = e.groupBy("doc_id").agg(F.lit(0.9).alias("geometry_score"))
+    got = verify.verdicts(verify.field_results(fields, seen(0), seen(1)), shape, ["f5", "f11"])
+    return got.select("doc_id", *[F.round(c, 6).alias(c) for c in ("source", "output", "overall")], "weak", "critical_failures", "passed")
+
+
+def borrowed_values(spark, d):
+    from ..operators import verify
+
+    e = _fields(spark, d)
+    return verify.borrowed_values(e.select("doc_id", F.col("event_id").cast("string").alias("source_key"), F.when(F.col("r") == 0, F.col("event_type")).otherwise(F.col("event_id").cast("string")).alias("value")))
+
+
+QUERIES |= {"verification": verification, "borrowed_values": borrowed_values}
