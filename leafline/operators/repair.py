@@ -130,10 +130,9 @@ def _witnesses(rows: DataFrame) -> DataFrame:
 
 def _stations(rows: DataFrame) -> DataFrame:
     plain = text.normalize_text(_v())
-    words = F.filter(F.split(plain, " "), lambda t: t.rlike("^[a-z]{4,}$"))
-    # up to six words are compared one by one, longer values as a whole only once more
-    close = F.greatest(similarity.text_similarity(plain, F.lit("airport")), *[similarity.text_similarity(F.coalesce(F.get(words, F.lit(i)), F.lit("")), F.lit("airport")) for i in range(6)])
-    return update(rows, F.lit("Airport"), _key().endswith("station") & (plain != "") & (plain.contains("airport") | (close >= 0.68)), ("ocr_confusion_risk",))
+    station = _key().endswith("station") & (plain != "")
+    close = similarity.closest_word(F.when(station, plain), "airport")
+    return update(rows, F.lit("Airport"), station & (plain.contains("airport") | (close >= 0.68)), ("ocr_confusion_risk",))
 
 
 def _dates(rows: DataFrame) -> DataFrame:

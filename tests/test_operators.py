@@ -77,6 +77,15 @@ def test_repairs(spark):
     assert got["p", "ogrenci_no"] == "20241001" and got["p", "gano"] == "3.45"
 
 
+def test_station_compares_every_word(spark):
+    long = "main north gate terminal building central district "
+    rows = [("Police Station", long + "Aiphoth"), ("Police Station", long * 20 + "no 7 aiphoth"), ("Police Station", long + "harbour"), ("Police Station", "AIPHOTH"), ("Notes", long + "Aiphoth"), ("Station", None)]
+    values = spark.createDataFrame([(str(i), 0, k, v, 0.8, "llm_page", []) for i, (k, v) in enumerate(rows)], "doc_id string, ord int, source_key string, value string, confidence double, source_kind string, review_reasons array<string>")
+    got = {int(r.doc_id): r.value for r in repair.repair(values).collect()}
+    assert [got[i] for i in (0, 1, 3)] == ["Airport"] * 3
+    assert got[2].endswith("harbour") and got[4].endswith("Aiphoth") and got[5] == ""
+
+
 def test_gates(spark):
     metrics = spark.createDataFrame([("fir", 0.8, 0.5)], "dataset string, field_normalized_exact_match double, field_coverage double")
     assert {(r.metric, r.passed) for r in review.gates(metrics).collect()} == {("field_normalized_exact_match", True), ("field_coverage", False)}
