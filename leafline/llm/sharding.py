@@ -16,20 +16,25 @@ SEED = 5
 
 def link_histograms(members: DataFrame, labels: DataFrame) -> DataFrame:
     """grp, part, label, n: how many rows of each group are in each shard; summed before the shuffle."""
-    return members.join(labels, "node").groupBy("grp", "part", "label").agg(F.sum("w").alias("n"))
+    return members.join(labels.select("node", "label"), "node").groupBy("grp", "part", "label").agg(F.sum("w").alias("n"))
 
 
-def wanted_moves(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label, best, bin, w for nodes whose neighbours are mostly in another shard.
+def wanted_moves(members: DataFrame, labels: DataFrame, seen: DataFrame, refused: list[tuple[int, int, int]] = ()) -> DataFrame:
+    """node, label, best, bin, w for nodes with more neighbours in another shard that has not refused them.
 
-    A node's neighbours are the rows of its groups. Ties go to the shard that a hash of group and
+    A node's neighbours are the rows of its groups, counted in ``seen``; ``refused`` has (bin, from, to). Ties go to the shard that a hash of group and
     shard ranks first, the same for all of a group, so that halves don't swap for ever.
     """
-    seen = members.join(link_histograms(members, labels), ["grp", "part"])
     order = F.xxhash64("grp", "part", "label")
-    score = seen.groupBy("node", "label").agg(F.sum("n").alias("n"), F.max(order).alias("tie"), F.max("w").alias("w"), F.min(F.pmod(F.xxhash64("grp", "part"), F.lit(MOVE_BINS))).cast("int").alias("bin"))
-    best = score.groupBy("node").agg(F.max(F.struct("n", "tie", "label")).alias("top"), F.max("w").alias("w"), F.min("bin").alias("bin"))
-    return best.join(labels, "node").where(F.col("top.label") != F.col("label")).select("node", "label", F.col("top.label").alias("best"), "bin", "w")
+    score = members.join(seen, ["grp", "part"]).groupBy("node", "label").agg(F.sum("n").alias("n"), F.max(order).alias("tie"))
+    score = score.join(labels.withColumnRenamed("label", "own"), "node")
+    free = F.lit(True)
+    if refused:
+        closed = members.sparkSession.createDataFrame(list(refused), "bin int, own int, label int").withColumn("closed", F.lit(True))
+        score, free = score.join(F.broadcast(closed), ["bin", "own", "label"], "left"), F.col("closed").isNull()
+    option = F.struct("n", "tie", "label")
+    best = score.groupBy("node", "own", "bin", "w").agg(F.max(F.when(free, option)).alias("top"), F.max(F.when(F.col("label") == F.col("own"), option)).alias("now"))
+    return best.where(F.col("top") > F.col("now")).select("node", F.col("own").alias("label"), F.col("top.label").alias("best"), "bin", "w")
 
 
 def grant(wanted: list[tuple[int, int, int, int]], load: dict[int, int], capacity: int) -> list[tuple[int, int, int]]:
@@ -40,11 +45,19 @@ def grant(wanted: list[tuple[int, int, int, int]], load: dict[int, int], capacit
     load, out, size = defaultdict(int, load), [], defaultdict(int)
     for bin_, _, _, w in wanted:
         size[bin_] += w
-    for bin_, a, b, w in sorted(wanted, key=lambda m: (-size[m[0]], m)):
-        if load[b] + w <= capacity:
-            load[b] += w
-            load[a] -= w
-            out.append((a, b, bin_))
+    left = sorted(wanted, key=lambda m: (-size[m[0]], m))
+    while left:  # what moves away makes room for those refused before
+        again = []
+        for bin_, a, b, w in left:
+            if load[b] + w <= capacity:
+                load[b] += w
+                load[a] -= w
+                out.append((a, b, bin_))
+            else:
+                again.append((bin_, a, b, w))
+        if len(again) == len(left):
+            break
+        left = again
     return out
 
 
@@ -53,27 +66,45 @@ def propagate(members: DataFrame, n_shards: int, capacity: int, rounds: int = RO
 
     Every round each node asks for the shard that holds most of its neighbours; requests are counted by
     (from, to, bin of groups) and granted as far as no shard takes linked rows beyond ``capacity``.
+    What is refused asks for the next best shard, until that shard has room or other rows of the bin have moved. It ends when nothing
+    is asked for any more. Where each node is in one group, each round brings more rows of a group together, so it does end;
+    nodes of several groups may swap for ever, so it also ends after ``rounds`` moves without more rows together than ever before.
     """
     spark = members.sparkSession
-    nodes = members.groupBy("node").agg(F.max("w").alias("w"))
-    labels = stored(nodes.select("node", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(n_shards)).cast("int").alias("label")), "shard-labels")
-    weight = stored(nodes, "shard-nodes")
-    for _ in range(rounds):
-        moves = stored(wanted_moves(members, labels), "shard-moves")
-        wanted = [tuple(r) for r in moves.groupBy("bin", "label", "best").agg(F.sum("w").alias("w")).collect()]
-        if not wanted:
-            break
-        load = {r.label: r.w for r in labels.join(weight, "node").groupBy("label").agg(F.sum("w").alias("w")).collect()}
-        granted = grant(wanted, load, capacity)
-        if not granted:
+    bin_ = F.min(F.pmod(F.xxhash64("grp", "part"), F.lit(MOVE_BINS))).cast("int")
+    nodes = members.groupBy("node").agg(F.max("w").alias("w"), bin_.alias("bin"))
+    labels = stored(nodes.select("node", F.pmod(F.xxhash64(F.lit(SEED), "node"), F.lit(n_shards)).cast("int").alias("label"), "w", "bin"), "shard-labels")
+    refused: dict[tuple[int, int, int], int] = {}
+    most, idle = -1, 0
+    while True:
+        seen = stored(link_histograms(members, labels), "shard-seen")
+        together = int(seen.agg(F.sum((F.col("n") * F.col("n")).cast("decimal(38,0)")).alias("t")).first().t or 0)
+        idle, most = (0, together) if together > most else (idle + 1, most)
+        if idle >= max(1, rounds):
             break
+        granted = []
+        while not granted:
+            moves = stored(wanted_moves(members, labels, seen, list(refused)), "shard-moves")
+            wanted = [tuple(r) for r in moves.groupBy("bin", "label", "best").agg(F.sum("w").alias("w")).collect()]
+            if not wanted:
+                return labels.select("node", "label")
+            load = defaultdict(int, {r.label: r.w for r in labels.groupBy("label").agg(F.sum("w").alias("w")).collect()})
+            granted = grant(wanted, load, capacity)
+            done = set(granted)
+            refused |= {(k, a, b): w for k, a, b, w in wanted if (a, b, k) not in done}
+        for k, a, b, w in wanted:
+            if (a, b, k) in done:
+                load[a] -= w
+                load[b] += w
+        moved = {k for _, _, k in granted}
+        refused = {t: w for t, w in refused.items() if t[0] not in moved and load[t[2]] + w > capacity}
         allowed = F.broadcast(spark.createDataFrame(granted, "label int, best int, bin int"))
         went = moves.join(allowed, ["label", "best", "bin"]).select("node", "best")
-        new = stored(labels.join(went, "node", "left").select("node", F.coalesce("best", "label").alias("label")), "shard-labels")
-        discard(labels)
-        discard(moves)
+        new = stored(labels.join(went, "node", "left").select("node", F.coalesce("best", "label").alias("label"), "w", "bin"), "shard-labels")
+        for gone in (labels, moves, seen):
+            discard(gone)
         labels = new
-    return labels
+    return labels.select("node", "label")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -204,6 +204,20 @@ def test_sharding(spark):
     assert sharding.shard_documents(df.limit(0)).count() == 0
 
 
+def test_sharding_asks_for_the_next_best_shard(spark):
+    # two groups of 10 %, both with most rows in shard 3 at first; a shard holds 12.5 %
+    ids = spark.range(20000).select("id", F.pmod(F.xxhash64(F.lit(sharding.SEED), "id"), F.lit(8)).alias("s")).collect()
+    by = {s: [r.id for r in ids if r.s == s] for s in range(8)}
+    take = lambda s, n: [by[s].pop() for _ in range(n)]
+    groups = {g: [i for s in range(8) for i in take(s, 30 if s == 3 else 10)] for g in ("x", "y")}
+    rows = [(i, g) for g, of in groups.items() for i in of] + [(100000 + i, f"t{i}") for i in range(800)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    where = {r.id: r.shard for r in got}
+    homes = [{where[i] for i in of} for of in groups.values()]
+    assert all(len(h) == 1 for h in homes) and homes[0] != homes[1]
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(8) for k in range(125)]
+
+
 def test_language_spans(spark):
     en, fr = "the quick brown fox and the lazy dog with this that", "le renard brun et la chienne avec cette une dans"
     rows = [(i, " ".join(random.Random(i).choices((en if i % 2 else fr).split(), k=30)), "en" if i % 2 else "fr", "s", 1) for i in range(60)]
