@@ -281,10 +281,10 @@ def box_assign(spark, d):
 
 
 def text_fit(spark, d):
-    turns = _t(spark, d, "conversations").where("turn < 2")
-    values = turns.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("note").alias("key"), F.col("text").alias("value"))
-    fields = turns.select(F.col("conv_id").alias("doc_id"), F.when(F.col("turn") == 0, "note").otherwise("note__body").alias("name"), F.lit(258.0).alias("width"), F.when(F.col("turn") == 0, 22.0).otherwise(80.0).alias("height"))
-    return segments.expand_segments(values, fields)
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat_ws("_", F.lit("note"), F.col("turn").cast("string")).alias("key"), F.col("text").alias("value"))
+    boxes = F.array(F.struct(F.lit("").alias("end"), F.lit(22.0).alias("height")), F.struct(F.lit("__body").alias("end"), F.lit(80.0).alias("height")))
+    fields = turns.select("doc_id", "key").distinct().select("doc_id", "key", F.inline(boxes)).select("doc_id", F.concat("key", "end").alias("name"), F.lit(258.0).alias("width"), "height")
+    return segments.expand_segments(turns, fields)
 
 
 def rule_pipeline(spark, d):

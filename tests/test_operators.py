@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from leafline.operators import assign, dedup, families, repair, review, sampling, scoring, segments
+from leafline.plans import queries
 from leafline.sources import manifests
 from leafline.streaming import jobs
 
@@ -64,6 +65,16 @@ def test_segments(spark):
     assert not over and " ".join(p for p in parts if p) == "a few short words"
 
 
+def test_text_fit_takes_every_turn(spark, tmp_path):
+    turns = [(1, 0, "hello there"), (1, 1, "word " * 100), (1, 2, "a third turn"), (1, 11, ""), (2, 0, "two\nlines of text"), (2, 3, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want = []
+    for conv, turn, value in turns:
+        parts, over = segments.fit(value or "", [(258.0, 22.0), (258.0, 80.0)])
+        want += [(conv, f"note_{turn}", parts[0], over), (conv, f"note_{turn}__body", parts[1], over)]
+    assert sorted(tuple(r) for r in queries.text_fit(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_repairs(spark):
     rows = [("d", "Company", "M/A/R/C"), ("d", "Supplier", "M/A/R/C"), ("e", "date_of_report", "October 27, 2024"), ("e", "report_year", "2020"), ("f", "Offer Complete", "08/15/98"), ("f", "Expiration Date", "06/15/98"), ("g", "witness contact info", "Witness 1: Rob Chen, 518-555-1112. Witness 2: Keisha Long, 518-555-1112"),
             ("p", "telefon", "0532 123 4567 / a.yilmaz@email.com"), ("p", "e_posta", ""), ("p", "ogrenci_no", "Ogrenci No: 20241001"), ("p", "gano", "GANO: 3,45")]
