@@ -44,16 +44,31 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), several
 
 
+def _ranges(chars: list[str]) -> str:
+    """A character class of ``chars``, neighbours merged into ranges."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def normalize_text(text: Column) -> Column:
-    """Lower-case ASCII words with one space between: accents folded, other characters dropped, letters and digits parted; null is empty."""
+    """Lower-case ASCII words with one space between: accents folded, other characters dropped, letters and digits parted; null is empty.
+
+    Only texts with other than ASCII characters are folded, and only those with a character that stands for several letters are spelled out.
+    """
     one, to, several = _decompositions()
-    value = F.translate(F.coalesce(text, F.lit("")), FOLD_FROM + one, FOLD_TO + to)
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    plain = F.coalesce(text, F.lit(""))
+    folded = F.translate(plain, FOLD_FROM + one, FOLD_TO + to)
     spelled = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # folded into one literal
-    value = F.when(value.rlike(wide), F.array_join(F.transform(F.split(value, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")).otherwise(value)
-    value = F.regexp_replace(value, r"[^\x00-\x7F]", "")
-    value = F.regexp_replace(value, "(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])", " ")
-    return F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", " "))
+    letters = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
+    folded = F.when(folded.rlike(_ranges(list(several))), letters).otherwise(folded)
+    ascii_ = F.when(plain.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]+", "")).otherwise(plain)
+    parted = F.regexp_replace(F.lower(ascii_), "([0-9]+)", " $1 ")
+    return F.trim(F.regexp_replace(parted, "[^a-z0-9]+", " "))
 
 
 def squeeze(text: Column) -> Column:

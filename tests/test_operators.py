@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from leafline.operators import assign, dedup, families, repair, review, sampling, scoring, segments
@@ -59,10 +61,48 @@ def test_mapping(spark):
 def test_segments(spark):
     values = spark.createDataFrame([("d", "a__body_2", "three"), ("d", "a", "one"), ("d", "a__body", "two"), ("d", "b", "")], "doc_id string, name string, value string")
     assert [tuple(r) for r in segments.coalesce_segments(values).collect()] == [("d", "a", "one\ntwo\nthree")]
-    parts, over = segments.fit("word " * 200, [(110.0, 22.0), (258.0, 36.0)])
+
+
+def plain_fit(value, boxes):
+    """Texts in boxes of (width, height), one character after the other."""
+    best = ([], value.split(), [])
+    for char in (6.2, 5.8, 5.4, 5.0, 4.6):
+        counts = [1 if h <= 26 else 2 if h <= 44 else max(2, int((h + 2) // 20)) for _, h in boxes]
+        rooms = [max(1, int(max(12.0, w - 8) * max(0.9, min(1.0, 6 / char)) / ((9.6 if n > 1 else 10.5) / 2))) for (w, _), n in zip(boxes, counts, strict=True) for _ in range(n)]
+        rest, lines = "\n".join(" ".join(p.split()) for p in value.splitlines() if p.strip()), []
+        for room in rooms:
+            paragraph, at = rest.split("\n")[0], 0
+            ends = [k for k in range(len(paragraph) + 1) if k <= room and (k == len(paragraph) or paragraph[k] == " ")]
+            at = max(ends) if ends and max(ends) > 0 else min(room, len(paragraph))
+            lines.append(paragraph[:at])
+            rest = rest[at:].lstrip(" \n")
+        if not rest:
+            break
+    if rest and lines:
+        room = rooms[-1] - 3
+        window = lines[-1][:room].rstrip() if room > 0 else ""
+        if room > 0 and len(lines[-1]) > room and " " in window and window.rindex(" ") >= max(1, len(window) // 2):
+            window = window[: window.rindex(" ")].rstrip()
+        lines[-1] = window + "..."
+    parts, at = [], 0
+    for n in counts:
+        parts.append("\n".join(x for x in lines[at : at + n] if x))
+        at += n
+    return parts, rest.replace("\n", " ")
+
+
+def test_fit_equals_a_plain_version(spark):
+    r = random.Random(4)
+    words = ["a", "bb", "longer", "x" * 40, "y" * 90, "the", "\n"]
+    rows = [(k, " ".join(r.choices(words, k=r.randrange(0, 50))), [(float(r.choice([20, 110, 258])), float(r.choice([22, 36, 80]))) for _ in range(r.randrange(1, 4))]) for k in range(120)]
+    rows += [(900, "word " * 200, [(110.0, 22.0), (258.0, 36.0)]), (901, "a few short words", [(160.0, 22.0), (310.0, 22.0)]), (902, "", [(160.0, 22.0)])]
+    df = spark.createDataFrame(rows, "k int, v string, b array<struct<width:double,height:double>>")
+    got = {x.k: (x.f.parts, x.f.overflow) for x in df.select("k", segments.fit(F.col("v"), F.col("b")).alias("f")).collect()}
+    assert all(got[k] == plain_fit(v, b) for k, v, b in rows)
+    parts, over = got[900]
     assert over and "..." in parts[1] and parts[1].count("\n") <= 1
-    parts, over = segments.fit("a few short words", [(160.0, 22.0), (310.0, 22.0)])
-    assert not over and " ".join(p for p in parts if p) == "a few short words"
+    assert got[901][1] == "" and " ".join(p for p in got[901][0] if p) == "a few short words"
+    assert spark.range(1).select(segments.fit(F.lit("left over"), F.expr("array_repeat(named_struct('width', 1d, 'height', 1d), 0)")).alias("f")).first().f == ([], "left over")
 
 
 def test_text_fit_takes_every_turn(spark, tmp_path):
@@ -70,7 +110,7 @@ def test_text_fit_takes_every_turn(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     want = []
     for conv, turn, value in turns:
-        parts, over = segments.fit(value or "", [(258.0, 22.0), (258.0, 80.0)])
+        parts, over = plain_fit(value or "", [(258.0, 22.0), (258.0, 80.0)])
         want += [(conv, f"note_{turn}", parts[0], over), (conv, f"note_{turn}__body", parts[1], over)]
     assert sorted(tuple(r) for r in queries.text_fit(spark, str(tmp_path)).collect()) == sorted(want)
 
