@@ -70,3 +70,51 @@ def nearest_right(pairs: DataFrame) -> DataFrame:
     """Of ``candidates_on_lines``, the rule closest to each line's end, those to its right first."""
     gap = F.col("r_left") - F.col("right")
     return pairs.groupBy("doc_id", "page_number", "line_id").agg(F.min_by("rule_id", F.struct((gap < 0).cast("int"), F.abs(gap), F.col("rule_id"))).alias("rule_id"))
+
+
+#: A box is tiny below this width or height; a missing one, a lone tiny one, and each tiny one cost so much of the geometry score.
+TINY_WIDTH, TINY_HEIGHT = 18.0, 8.0
+LONE_TINY, EACH_TINY, MOST_TINY = 0.72, 0.08, 0.35
+
+
+def _is_tiny(box):
+    return (g.width(box) < TINY_WIDTH) | (g.height(box) < TINY_HEIGHT)
+
+
+def layout_codes(fields: DataFrame, least: float = 0.04) -> DataFrame:
+    """doc_id, code: missing_box, tiny and overlap warnings of active fields (doc_id, ord, name, box)."""
+    missing = fields.where("box is null").select("doc_id", F.concat(F.lit("missing_box:"), "name").alias("code"))
+    tiny = fields.where(F.col("box").isNotNull() & _is_tiny(F.col("box"))).select("doc_id", F.concat(F.lit("tiny:"), "name").alias("code"))
+    overlap = overlapping_pairs(fields, least).select("doc_id", F.concat(F.lit("overlap:"), "a", F.lit(":"), "b").alias("code"))
+    return missing.unionByName(tiny).unionByName(overlap)
+
+
+def geometry_score(fields: DataFrame) -> DataFrame:
+    """doc_id, geometry_score: 1 less the mean of each field's worst overlap with a later field, less what its tiny fields cost.
+
+    A field without a box counts as overlapped wholly. A lone field is judged by its size only. fields: doc_id, ord, name, box.
+    """
+    worst = overlapping_pairs(fields, 0.0).groupBy("doc_id", F.col("a").alias("name")).agg(F.max("iou").alias("iou"))
+    rows = fields.join(worst, ["doc_id", "name"], "left")
+    tiny = F.col("box").isNotNull() & _is_tiny(F.col("box"))
+    by = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.when(F.col("box").isNull(), 1.0).otherwise(F.coalesce("iou", F.lit(0.0)))).alias("mean"), F.count_if(tiny).alias("tiny"), F.count_if(F.col("box").isNull()).alias("none"))
+    lone = F.when(F.col("none") > 0, 0.0).when(F.col("tiny") > 0, LONE_TINY).otherwise(1.0)
+    many = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), 1 - F.col("mean")) - F.least(F.lit(MOST_TINY), F.col("tiny") * EACH_TINY))
+    return by.select("doc_id", F.when(F.col("n") == 1, lone).otherwise(many).alias("geometry_score"))
+
+
+def reading_order(fields: DataFrame) -> DataFrame:
+    """``fields`` (doc_id, name, box, ...) with place: by page, top, left and name, those without a box last."""
+    order = [F.col(f"box.{c}").asc_nulls_last() for c in ("page_number", "top", "left")]
+    return fields.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order, "name")))
+
+
+def continuation_boxes(boxes: DataFrame) -> DataFrame:
+    """doc_id, name, k, box: the lines of each continuation box, equal bands less two units above and below; a box of one line stays as it is."""
+    height = g.height(F.col("box"))
+    lines = F.when(height <= 24, 1).when(height <= 44, 2).otherwise(F.greatest(F.lit(2), F.floor((height + 2) / 20))).cast("int")
+    rows = boxes.where("box is not null").withColumn("n", lines).withColumn("k", F.explode(F.sequence(F.lit(0), lines - 1)))
+    edge = lambda k: F.col("box.top") + height / F.col("n") * k
+    band = F.struct(F.col("box.page_number").alias("page_number"), F.col("box.left").alias("left"), (edge(F.col("k")) + 2).alias("top"), F.col("box.right").alias("right"), (edge(F.col("k") + 1) - 2).alias("bottom"))
+    whole = F.struct(*[F.col(f"box.{c}").alias(c) for c in ("page_number", "left", "top", "right", "bottom")])
+    return rows.select("doc_id", "name", "k", F.when(F.col("n") == 1, whole).otherwise(band).alias("box"))

@@ -7,13 +7,14 @@ that look at two read the other through a window over the document's few fields.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..sources.tables import written
+from ..sources.tables import discard, written
 
 
 def _v() -> Column:
@@ -53,6 +54,15 @@ PETITION_LABELS = {
 }
 
 
+#: Families of checkboxes: each option, the field of its value, and a field that is empty if it is selected.
+FAMILIES = (
+    (("driver s license no selected", "driver s license no", None), ("passport no selected", "passport no", None), ("other selected", "other", None)),
+    (("time am", None, None), ("time pm", None, None)),
+    (("was anyone injured yes", None, None), ("was anyone injured no", None, "if yes describe the injuries")),
+    (("were there witnesses to the incident yes", None, None), ("were there witnesses to the incident no", None, "if yes enter the witnesses names and contact info")),
+)
+
+
 def has(*words: str) -> Column:
     return reduce(lambda a, w: a | _key().contains(w), words[1:], _key().contains(words[0]))
 
@@ -157,7 +167,46 @@ def _report_year(rows: DataFrame) -> DataFrame:
     return update(rows, suffix, (_key() == "report year") & known & (suffix != ""), drop=("missing_value",), support=F.col("_b")).drop("_d", "_y", "_b")
 
 
-def _petition_fields(rows: DataFrame) -> DataFrame:
+def _families(rows: DataFrame) -> DataFrame:
+    """Families of checkboxes: one option stays, the others and what belongs to them are emptied.
+
+    Of several selected options the one with the highest confidence wins, ties to the first. An option's value is kept if its option wins,
+    unless it only repeats the option's name. Only the first field of a repeated key takes part.
+    """
+    place = {text_key: (f, role, k) for f, family in enumerate(FAMILIES) for k, (option, value, emptied) in enumerate(family) for text_key, role in ((option, "option"), (value, "value"), (emptied, "emptied")) if text_key}
+    known = F.from_json(F.lit(json.dumps({k: {"family": f, "role": r, "option": o} for k, (f, r, o) in place.items()})), "map<string,struct<family:int,role:string,option:int>>")
+    first = F.row_number().over(Window.partitionBy("doc_id", "nk").orderBy("ord")) == 1
+    rows = rows.withColumn("_at", F.when(first, F.try_element_at(known, _key())))
+    family = Window.partitionBy("doc_id", "_at.family")
+    option = Window.partitionBy("doc_id", "_at.family", "_at.option")
+    is_option = F.coalesce(F.col("_at.role") == "option", F.lit(False))
+    selected = is_option & (text.checkbox_state(text.normalize_text(_v())) == "true")
+    own = F.col("confidence")
+    rows = rows.withColumns({
+        "_n": F.count_if(selected).over(family),
+        "_best": F.max(F.when(selected, F.struct(own.alias("c"), (-F.col("_at.option")).alias("o")))).over(family),
+        "_low": F.min(F.when(is_option & (own > 0), own)).over(family),
+        "_mine": F.max(F.when(is_option, own)).over(option),
+        "_there": F.coalesce(F.max(is_option).over(option), F.lit(False)),
+    })
+    role, wins, conflict = F.col("_at.role"), F.coalesce(F.col("_at.option") == -F.col("_best.o"), F.lit(False)), F.col("_n") > 1
+    name = F.regexp_replace(_key(), " (selected|yes|no)$", "")
+    noise = (text.normalize_text(_v()) != "") & text.normalize_text(_v()).isin(_key(), name)
+    ruled = F.coalesce((role == "option") | ((role == "value") & F.col("_there")) | ((role == "emptied") & wins), F.lit(False))
+    emptied = ruled & (F.when(role == "emptied", True).otherwise(~wins))
+    value = F.when(emptied, "").when(role == "option", "yes").when(noise, "").otherwise(_v())
+    drop = F.when(emptied, F.array(F.lit("missing_value"), F.lit("field_family_conflict"))).when(role == "option", F.array(F.lit("expected_empty"), F.lit("missing_value"))).otherwise(F.array(F.lit("expected_empty")))
+    add = F.when(emptied, F.array(F.lit("expected_empty"))).when(conflict & ((role == "option") | ~noise), F.array(F.lit("field_family_conflict"))).otherwise(_none())
+    pair = F.least(F.when(F.col("_mine") > 0, F.col("_mine")), F.when(own > 0, own))
+    low = F.when(role == "option", F.col("_low")).when((role == "value") & wins & conflict & ~noise, F.col("_low")).when(role == "emptied", F.least(F.when(F.col("_best.c") > 0, F.col("_best.c")), F.when(own > 0, own))).otherwise(pair)
+    out = rows.withColumns({
+        "value": F.when(ruled, value).otherwise(_v()), "confidence": F.when(ruled, F.coalesce(low, own)).otherwise(own), "source_kind": F.when(ruled, "rule_family").otherwise(F.col("source_kind")),
+        "review_reasons": F.when(ruled, F.array_union(F.array_except("review_reasons", drop), add)).otherwise(F.col("review_reasons")),
+    })
+    return out.drop("_at", "_n", "_best", "_low", "_mine", "_there")
+
+
+def _petition_fields(rows: DataFrame, cut) -> DataFrame:
     digits = F.regexp_replace(_v(), "(?U)[^0-9]", "")
     rows = update(rows, digits, _petition_key().isin("ogrenci no", "tc kimlik no") & (F.length(digits) >= 4))
     rows = update(rows, F.regexp_extract(_v(), r"\b([0-9]+)\b", 1), _petition_key().isin("tamamlanan kredi", "ders kredisi", "akts", "ders notu") & _v().rlike(r"\b[0-9]+\b"))
@@ -173,8 +222,8 @@ def _petition_fields(rows: DataFrame) -> DataFrame:
             clean = _strip(F.regexp_replace(clean, r"(?i)\s+(?:akts|ects|dersin\s+kredisi|course\s+credit|kredi|ak)\b.*$", ""), " :/-")
         rows = update(rows, clean, (_petition_key() == key) & (clean != ""))
         if key == "danisman gorusu":
-            rows = written(rows, "repair")
-    rows = written(rows, "repair")
+            rows = cut(rows)
+    rows = cut(rows)
     years = F.translate(F.regexp_replace(F.regexp_extract(_v(), r"\b((?:19|20)[0-9]{2}\s*[-/.]\s*(?:19|20)[0-9]{2})\b", 1), r"\s+", ""), "./", "--")
     rows = update(rows, years, (_petition_key() == "egitim yili") & (years != ""))
     plain = text.normalize_text(_v())
@@ -192,7 +241,15 @@ def repair(values: DataFrame, profile: str | None = None) -> DataFrame:
 
     Each rule reads what the last one left, so the plan is deep; it is cut by written tables of these narrow rows.
     """
-    cut = lambda r: written(r, "repair")
+    last: list[DataFrame] = []
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """``rows`` written; nothing reads the table before them any longer."""
+        last.append(written(rows, "repair"))
+        if len(last) > 1:
+            discard(last.pop(0))
+        return last[0]
+
     columns = values.columns
     rows = values.withColumns({"value": F.coalesce("value", F.lit("")), "nk": text.normalize_text(F.col("source_key")), "review_reasons": F.coalesce("review_reasons", _none())})
     if profile is None:
@@ -209,7 +266,8 @@ def repair(values: DataFrame, profile: str | None = None) -> DataFrame:
     rows = update(rows, text.canonical_year(_v()), (_key() == "year") & (text.canonical_year(_v()) != ""), ("ocr_confusion_risk",))
     codes = similarity.repair_statutes(_v())
     rows = update(rows, codes, (_key() == "statutes") & (codes != ""), ("ocr_confusion_risk",))
-    rows = cut(_report_year(cut(_dates(cut(rows)))))
-    rows = _petition_fields(rows)
+    rows = cut(_families(cut(_dates(cut(rows)))))
+    rows = cut(_report_year(rows))
+    rows = _petition_fields(rows, cut)
     lines = F.array_join(F.filter(F.transform(F.split(_v(), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""), "\n")
     return rows.withColumn("value", lines).select(*columns)

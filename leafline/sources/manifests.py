@@ -63,16 +63,42 @@ def annotation_fields(rows: DataFrame, split: str = "all") -> DataFrame:
     return grouped.select("sample_id", F.element_at(names, F.col("category_id")).alias("key"), "value", F.struct("left", "top", "right", "bottom").alias("box"))
 
 
+#: Words that a checkbox reads.
+CHECK_WORDS = ("yes", "no", "true", "false", "on", "off", "checked", "unchecked")
+
+
+def value_kind(value: Column) -> Column:
+    """checkbox for a word of one, multiline for several lines, else text."""
+    plain = F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
+    return F.when(plain.isin(*CHECK_WORDS), "checkbox").when(value.contains("\n"), "multiline").otherwise("text")
+
+
 def linked_fields(rows: DataFrame) -> DataFrame:
-    """sample_id, key, value: answers linked to each question of a form-understanding row, in order, on lines of their own."""
-    text = lambda ids: F.array_join(F.transform(ids, lambda i: F.get("words", i)), " ")
-    label = lambda ids: F.get(F.array_sort(F.array_distinct(F.transform(ids, lambda i: F.get("labels", i)))), F.lit(0))
-    pairs = rows.select("sample_id", "words", "labels", "grouped_words", F.posexplode("linked_groups").alias("ord", "link"))
+    """sample_id, key, value, kind, box of form-understanding rows: answers linked to each question, in order, on lines of their own.
+
+    A group of words has the label that most of them have; ties go to the smallest. Label 2 is a question, 3 an answer. The
+    box is the one around all answers of a question; without boxes it is null. rows: sample_id, words, labels, grouped_words, linked_groups, and bboxes if there are any.
+    """
+    boxes = F.col("bboxes") if "bboxes" in rows.columns else F.lit(None).cast("array<array<double>>")
+    text = lambda ids: F.trim(F.array_join(F.transform(ids, lambda i: F.get("words", i)), " "))
+
+    def label(ids: Column) -> Column:
+        own = F.transform(ids, lambda i: F.get("labels", i))
+        votes = F.transform(F.array_distinct(own), lambda v: F.struct((-F.size(F.filter(own, lambda x: x == v))).alias("n"), v.cast("int").alias("label")))
+        return F.array_min(votes)["label"]
+
+    edge = lambda ids, side, pick: pick(F.filter(F.transform(ids, lambda i: F.get(F.get("bboxes", i), F.lit(side)).cast("double")), lambda x: x.isNotNull()))
+    around = lambda ids: F.struct(edge(ids, 0, F.array_min).alias("left"), edge(ids, 1, F.array_min).alias("top"), edge(ids, 2, F.array_max).alias("right"), edge(ids, 3, F.array_max).alias("bottom"))
+    pairs = rows.select("sample_id", "words", "labels", "grouped_words", boxes.alias("bboxes"), F.posexplode("linked_groups").alias("ord", "link"))
     a, b = F.get("grouped_words", F.get("link", F.lit(0))), F.get("grouped_words", F.get("link", F.lit(1)))
-    sides = pairs.select("sample_id", "ord", label(a).alias("la"), label(b).alias("lb"), text(a).alias("ta"), text(b).alias("tb")).where("(la = 2 and lb = 3) or (la = 3 and lb = 2)")
-    question, answer = F.when(F.col("la") == 2, F.col("ta")).otherwise(F.col("tb")), F.when(F.col("la") == 2, F.col("tb")).otherwise(F.col("ta"))
-    long = sides.select("sample_id", "ord", question.alias("key"), answer.alias("value")).where("key <> '' and value <> ''")
-    return long.groupBy("sample_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    side = lambda ids: F.struct(label(ids).alias("label"), text(ids).alias("text"), around(ids).alias("box"))
+    sides = pairs.select("sample_id", "ord", side(a).alias("a"), side(b).alias("b")).where("(a.label = 2 and b.label = 3) or (a.label = 3 and b.label = 2)")
+    asks = F.col("a.label") == 2
+    long = sides.select("sample_id", "ord", F.when(asks, F.col("a.text")).otherwise(F.col("b.text")).alias("key"), F.when(asks, F.col("b")).otherwise(F.col("a")).alias("v")).where("key <> '' and v.text <> ''")
+    value = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "v.text"))), lambda x: x["text"]), "\n")
+    whole = F.struct(F.min("v.box.left").alias("left"), F.min("v.box.top").alias("top"), F.max("v.box.right").alias("right"), F.max("v.box.bottom").alias("bottom"))
+    found = long.groupBy("sample_id", "key").agg(value.alias("value"), whole.alias("box"))
+    return found.select("sample_id", "key", "value", value_kind(F.col("value")).alias("kind"), F.when(F.col("box.left").isNotNull(), F.col("box")).alias("box"))
 
 
 def file_kind(content: Column) -> Column:

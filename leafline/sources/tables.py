@@ -1,20 +1,45 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares.
+
+Lineage is cut by a written Parquet table, so a lost executor never costs more
+than the step that it was working on.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a temporary one if the session runs in one process (tests), else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="leafline-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet under spark.checkpoint.dir (a temporary folder where that is unset) and read back."""
+    """``df`` written once as Parquet and read back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="leafline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned and nothing needs any longer."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
