@@ -7,27 +7,67 @@ from pyspark.sql import functions as F
 
 from .storage import discard, stored
 
+#: Each round halves the open nodes on average, so no graph that fits a cluster comes near this many.
+MOST_ROUNDS = 500
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of ``links`` (a, b).
 
-    Each round links every node to the smallest label among itself and its
-    neighbours, and then to that label's own label (pointer jumping), so paths
-    shorten by halves. The minimum is taken before the shuffle, so a node with
-    many links costs one row a task. Each round is a written table.
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) for every node of ``links`` (a long, b long).
+
+    In each round every open node hooks to the neighbour that a hash of the round ranks first, if that one
+    ranks before itself; hooks are followed to their roots by pointer jumping, and the links are
+    contracted to links between roots. As the ranks are drawn anew, half the nodes hook on
+    average whatever the graph, a path included, so rounds grow with the logarithm of the nodes. It
+    ends when no link is left, and raises an error rather than return unsettled labels.
+
+    The first neighbour is found before the shuffle, so a node with many links costs one row a task. Each round is a
+    written table. Links with a null end, links of a node with itself and repeated links change nothing;
+    an empty table gives an empty table. Other columns are ignored.
     """
-    both = links.select("a", "b").where("a is not null and b is not null and a <> b")
-    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("m"))
-        joined = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "m").alias("low"))
-        parent = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        new = stored(joined.join(parent, F.col("low") == F.col("p"), "left").select("node", F.least(F.col("low"), F.coalesce("up", "low")).alias("label"), F.col("label").alias("was")), "cc-labels")
-        moved = new.where("label <> was").limit(1).count()
-        discard(labels)
-        labels = new.select("node", "label")
-        if not moved:
-            break
-    discard(both)
-    return labels.select("node", F.col("label").alias("component"))
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
+    hooked: list[DataFrame] = []
+    while edges.limit(1).count():
+        if len(hooked) == MOST_ROUNDS:
+            raise RuntimeError(f"components unsettled after {MOST_ROUNDS} rounds")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(hooked)), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best"))
+        roots = _roots(stored(first.select("node", F.least("best", rank("node"))["to"].alias("up")), "cc-hooks"))
+        up = lambda c: roots.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
+        left = edges.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up")
+        left = stored(left.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "cc-links")
+        discard(edges)
+        edges = left
+        hooked.append(roots)
+    if not hooked:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    labels = hooked[-1]
+    for earlier in reversed(hooked[:-1]):
+        later = labels.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        labels = earlier.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up"))
+    labels = stored(labels, "cc-labels")
+    for done in [edges, *hooked]:
+        discard(done)
+    return labels.join(labels.groupBy("up").agg(F.min("node").alias("component")), "up").select("node", "component")
+
+
+def _roots(hooks: DataFrame) -> DataFrame:
+    """node, up of ``hooks`` with up followed to its root, which points at itself."""
+    while True:
+        jump = hooks.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        further = hooks.join(jump, "up").select("node", F.col("further").alias("up"), (F.col("up") != F.col("further")).alias("moved"))
+        further = stored(further, "cc-hooks")
+        discard(hooks)
+        hooks = further.select("node", "up")
+        if not further.where("moved").limit(1).count():
+            return hooks
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component of ``found`` and of further ``links``: only links between components are looked at."""
+    label = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    ends = links.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")))
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return old.unionByName(joined.join(found, "node", "left_anti"))
