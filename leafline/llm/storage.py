@@ -1,42 +1,8 @@
-"""Tables written between steps, in the folder that the whole cluster shares.
-
-Lineage is cut by a written Parquet table, so a lost executor never costs more
-than the step that it was working on.
-"""
+"""Tables written between steps, in the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="leafline-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.tables import discard, new_path, shared_dir
+from ..sources.tables import written as stored
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``stored`` returned and nothing needs any longer."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "new_path", "shared_dir", "stored"]
