@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -39,7 +39,7 @@ def _taken(names: Column, name: Column) -> Column:
 def unique_slugs(labels: Column) -> Column:
     """Slugs of an array of labels in order; a slug that is taken gets the first free suffix from _2 on.
 
-    A fold over the array, so that a label that spells a suffix of another's is seen.
+    A fold over the array, so that a label that spells a suffix of another's is seen; ``unique_names`` is the way for long lists.
     """
 
     def step(names: Column, label: Column) -> Column:
@@ -48,3 +48,21 @@ def unique_slugs(labels: Column) -> Column:
         return F.concat(names, F.array(F.when(_taken(names, slug), F.get(free, F.lit(0))).otherwise(slug)))
 
     return F.aggregate(labels, F.array().cast("array<string>"), step)
+
+
+def unique_names(rows: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
+    """``keys``, ``order`` and name of each row: the slug of its label, with the first free suffix from _2 on if an earlier row of the key has it.
+
+    Only slugs that differ by numbers at their ends can take each other's names. A family of such with one slug is numbered by a window;
+    one with several, which few labels are, is folded in order. ``order`` tells the rows of a key apart; a null label is a blank one.
+    """
+    slug = text.slugify(F.col(label))
+    named = rows.select(*keys, order, F.col(label).alias("_label"), slug.alias("_slug"), F.regexp_replace(slug, "(_[0-9]+)+$", "").alias("_root"))
+    family = [*keys, "_root"]
+    mixed = named.groupBy(*family).agg(F.min("_slug").alias("lo"), F.max("_slug").alias("hi")).where("lo <> hi").select(*family)
+    same = lambda how: named.alias("n").join(mixed.alias("m"), [F.col(f"n.{c}").eqNullSafe(F.col(f"m.{c}")) for c in family], how)
+    place = F.row_number().over(Window.partitionBy(*keys, "_slug").orderBy(order))
+    plain = same("left_anti").select(*keys, order, F.when(place == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("_"), place.cast("string"))).alias("name"))
+    lists = same("left_semi").groupBy(*family).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_label").alias("l")))).alias("rows"))
+    folded = lists.select(*keys, F.explode(F.arrays_zip(F.col("rows.o").alias("o"), unique_slugs(F.transform("rows", lambda r: r["l"])).alias("name"))).alias("z"))
+    return plain.unionByName(folded.select(*keys, F.col("z.o").alias(order), F.col("z.name").alias("name")))

@@ -100,3 +100,13 @@ g AS (SELECT doc_id, avg(a) AS s, avg(b) AS o, count(*) AS n, count(*) FILTER (a
 SELECT doc_id, round(s, 6) AS source, round(o, 6) AS output, round(((s + o) / 2 + 0.9::DOUBLE) / 2 * 0.92::DOUBLE, 6) AS overall, weak, c AS critical_failures, s >= 0.72 AND o >= 0.72 AND weak <= greatest(1, n // 4) AND c = '' AS passed FROM g""",
     "borrowed_values": "WITH v AS (SELECT user_id AS doc_id, event_id, event_type FROM events WHERE event_id % 5 = 0), t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, event_type) AS n FROM v) SELECT doc_id, CAST(event_id AS VARCHAR) AS source_key FROM t WHERE n > 1",
 }
+
+SQL |= {
+    "unique_slugs": f"""WITH s AS (SELECT p_brand, p_partkey, coalesce(nullif(replace({norm('p_type')}, ' ', '_'), ''), 'field') AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, s ORDER BY p_partkey) AS rn FROM s)
+SELECT p_brand, p_partkey, CASE WHEN rn = 1 THEN s ELSE s || '_' || rn END AS name FROM r""",
+    "preferred_value": """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, CAST(event_id % 11 / 10.0 AS DOUBLE) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, event_id AS ord, event_type AS value, c AS confidence FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.rn, CASE WHEN t.takes THEN e.event_id ELSE f.ord END, CASE WHEN t.takes THEN e.event_type ELSE f.value END, CASE WHEN t.takes THEN e.c ELSE f.confidence END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1,
+LATERAL (SELECT CASE WHEN abs(e.c - f.confidence) > 0.05 THEN e.c > f.confidence ELSE length(e.event_type) >= length(f.value) END AS takes) t)
+SELECT user_id, arg_max(ord, rn) AS ord, arg_max(value, rn) AS value, arg_max(confidence, rn) AS confidence FROM f GROUP BY 1""",
+}

@@ -159,8 +159,7 @@ def last_wins_dedup(spark, d):
 
 
 def unique_slugs(spark, d):
-    names = _t(spark, d, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]).alias("labels"))
-    return names.select("p_brand", F.size("labels").alias("n"), F.md5(F.array_join(F.array_sort(dedup.unique_slugs("labels")), ",")).alias("slugs"))
+    return dedup.unique_names(_t(spark, d, "part"), ["p_brand"], "p_partkey", "p_type")
 
 
 def coalesce_segments(spark, d):
@@ -261,16 +260,24 @@ def job_state(spark, d):
 # --- similarity, assignment, repair (no SQL) ---------------------------------
 
 
+def _named_parts(spark, d, n: int):
+    """Parts in groups of ``n``, as the fields of a document."""
+    return _t(spark, d, "part").select(F.floor(F.col("p_partkey") / n).alias("doc_id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"))
+
+
 def similarity(spark, d):
-    n = _t(spark, d, "nation")
-    pairs = n.select("n_nationkey", "n_name").join(n.select(F.col("n_nationkey").alias("m"), F.col("n_name").alias("other"), F.col("n_regionkey").alias("r")), F.col("n_nationkey") != F.col("m"))
-    return pairs.select("n_nationkey", "m", F.round(text_similarity(F.col("n_name"), F.col("other")), 6).alias("ratio"))
+    """Every name against those of the five parts after it."""
+    p = _named_parts(spark, d, 50)
+    other = p.select("doc_id", F.col("ord").alias("m"), F.col("name").alias("other"))
+    pairs = p.join(other, "doc_id").where("m > ord and m <= ord + 5")
+    return pairs.select(F.col("ord").alias("n"), "m", F.round(text_similarity(F.col("name"), F.col("other")), 6).alias("ratio"))
 
 
 def fuzzy_assign(spark, d):
-    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
-    values = n.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("source_key"), F.lit(0.8).alias("confidence"))
-    targets = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_regionkey").alias("doc_id"), (100 - F.col("n_nationkey")).alias("ord"), F.concat(F.lit("the_"), F.lower("n_name")).alias("name"), F.lit("").alias("label"))
+    """Names of parts as source keys, mapped to their slugs as target fields."""
+    p = _named_parts(spark, d, 10)
+    values = p.select("doc_id", "ord", F.concat(F.lit("the "), "name").alias("source_key"), F.lit(0.8).alias("confidence"))
+    targets = p.select("doc_id", (-F.col("ord")).alias("ord"), F.concat(text.slugify(F.col("name")), F.lit("_"), F.col("ord").cast("string")).alias("name"), F.lit("").alias("label"))
     return assign.map_values(values, targets)
 
 

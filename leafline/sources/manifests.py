@@ -27,10 +27,14 @@ def read_manifest(spark: SparkSession, path: str, dataset: str, split: str = "al
 def manifest_samples(rows: DataFrame, dataset: str, split: str = "all") -> DataFrame:
     own = rows.withColumn("split", F.coalesce("split", F.lit("test")))
     pages = F.when(F.size("pages") > 0, F.col("pages")).when(F.col("page").isNotNull(), F.array("page"))
-    file = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")) if "_metadata" in rows.columns else F.monotonically_increasing_id()
-    index = F.row_number().over(Window.partitionBy(F.lit(dataset)).orderBy(file)) - 1
-    unnamed = own.where("sample_id is null or sample_id = ''")
-    numbered = own.where("sample_id <> ''").unionByName(unnamed.withColumn("sample_id", F.concat_ws(":", F.lit(dataset), "split", index.cast("string"))))
+    # numbered within each input partition, from where the partitions before it end
+    unnamed = own.where("sample_id is null or sample_id = ''").withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = unnamed.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("_row")) - 1
+    index = (F.col("_before") + within).cast("string")
+    unnamed = unnamed.join(offsets, "_part").withColumn("sample_id", F.concat_ws(":", F.lit(dataset), "split", index)).select(*own.columns)
+    numbered = own.where("sample_id <> ''").unionByName(unnamed)
     out = numbered.select(F.lit(dataset).alias("dataset"), "split", "sample_id", "page_number", pages.alias("pages"), "expected_fields")
     return out if split == "all" else out.where(F.col("split") == split)
 

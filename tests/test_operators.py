@@ -37,6 +37,29 @@ def test_sampling(spark):
     assert got == {n: int(hashlib.md5(n.encode()).hexdigest(), 16) % 10 for n in names}
 
 
+def test_unique_names_equal_the_fold_in_order(spark):
+    r = random.Random(7)
+    rows = [(g, k, r.choice(["x", "X 2", "x 2 2", "y", "y", "z 3", None, "x-3"])) for g in ("a", "b", None) for k in range(25)]
+    want = set()
+    for g in ("a", "b", None):
+        taken = []
+        for _, k, label in [x for x in rows if x[0] == g]:
+            slug = (label or "field").lower().replace(" ", "_").replace("-", "_")
+            name = slug if slug not in taken else next(f"{slug}_{i}" for i in range(2, 99) if f"{slug}_{i}" not in taken)
+            taken.append(name)
+            want.add((g, k, name))
+    frame = spark.createDataFrame(rows, "g string, k int, label string")
+    assert {tuple(x) for x in dedup.unique_names(frame, ["g"], "k", "label").collect()} == want
+    assert dedup.unique_names(frame.limit(0), ["g"], "k", "label").count() == 0
+
+
+def test_unnamed_samples_are_numbered_over_all_partitions(spark):
+    rows = spark.range(0, 40, 1, 5).selectExpr("if(id % 4 = 0, 'named', if(id % 4 = 1, '', null)) as sample_id", "cast(null as string) as split", "cast(null as int) as page_number")
+    rows = rows.selectExpr("*", f"cast(null as {manifests.PAGE}) as page", f"cast(null as array<{manifests.PAGE}>) as pages", f"cast(null as array<{manifests.FIELD}>) as expected_fields")
+    got = [x.sample_id for x in manifests.manifest_samples(rows, "d").collect()]
+    assert got.count("named") == 10 and sorted(x for x in got if x != "named") == sorted(f"d:test:{k}" for k in range(30))
+
+
 def test_unique_slugs(spark):
     row = spark.createDataFrame([(["x", "x", "x_2", "X"],)], "labels array<string>").select(dedup.unique_slugs(F.col("labels")).alias("s")).first()
     assert row.s == ["x", "x_2", "x_2_2", "x_3"]
