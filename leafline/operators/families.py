@@ -63,3 +63,25 @@ def resolve_values(current: DataFrame, adjudicated: DataFrame) -> DataFrame:
     takes = F.col("c").isNull() | ((F.trim("a.value") != "") & (F.col("a.confidence") >= F.col("c.confidence")))
     pick = F.when(F.coalesce(takes & F.col("a").isNotNull(), F.lit(False)), F.col("a")).otherwise(F.col("c"))
     return c.join(a, ["doc_id", "field_key"], "full").withColumn("p", pick).select("doc_id", "field_key", "p.value", "p.confidence")
+
+
+#: What a field's readings are called and how far each is trusted, in the order in which they are looked at.
+READINGS = (("page_value", "page_candidate", 0.45), ("page_precision_value", "page_precision", 0.5), ("crop_value", "crop_candidate", 0.55), ("crop_precision_value", "crop_precision", 0.6))
+
+
+def evidence_candidates(values: DataFrame, readings: DataFrame, fields: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc_id, key, page_number, anchor, candidates, value, reason: what is known of each value, with its distinct readings in order.
+
+    values: doc_id, key, value, raw_text, source_kind, confidence; readings: doc_id, key and the columns of ``READINGS``; fields: doc_id, key, name, page_number, ord, of
+    which the first of a key counts; pages: doc_id, page_number, text. Of equal readings the first stays; blank and null ones are none.
+    """
+    first = fields.groupBy("doc_id", "key").agg(F.min_by(F.struct("name", "page_number"), "ord").alias("f"))
+    rows = values.join(readings, ["doc_id", "key"], "left").join(first, ["doc_id", "key"], "left").withColumn("page_number", F.coalesce("f.page_number", F.lit(1)))
+    rows = rows.join(pages.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "page_number", F.lit(True).alias("_read")), ["doc_id", "page_number"], "left")
+    reading = lambda c, source, trust: F.struct(F.trim(F.coalesce(c, F.lit(""))).alias("value"), F.lit(source).alias("source") if isinstance(source, str) else source.alias("source"), trust.cast("double").alias("confidence"))
+    every = F.array(reading(F.col("raw_text"), F.col("source_kind"), F.col("confidence")), *[reading(F.col(c), source, F.lit(trust)) for c, source, trust in READINGS])
+    full = F.filter(every, lambda r: r["value"] != "")
+    spelled = F.transform(full, lambda r: r["value"])
+    distinct = F.filter(full, lambda r, i: F.array_position(spelled, r["value"]) == i + 1)
+    reason = F.concat("source_kind", F.when(F.col("_read"), "+transcript").otherwise(""))
+    return rows.select("doc_id", "key", "page_number", F.coalesce("f.name", "key").alias("anchor"), distinct.alias("candidates"), "value", reason.alias("reason"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, dedup, families, identity, layout, repair, retry, review, verify
+from ..operators import anchors, catalog, dedup, families, identity, layout, render, repair, retry, review, verify
 from ..operators.assign import filled_values as fill
 from ..sources import manifests
 from .queries import NORM
@@ -232,10 +232,75 @@ def lines_and_rules(spark, d):
     return layout.nearest_right(layout.candidates_on_lines(lines, rules)).select("line_id", "rule_id")
 
 
+def _edges(left, top, w, h):
+    return [left.cast("double").alias("left"), top.cast("double").alias("top"), (left + w).cast("double").alias("right"), (top + h).cast("double").alias("bottom")]
+
+
+def heading_boxes(spark, d):
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    own = [F.floor(k / 20).alias("doc_id"), F.lit(1).alias("page_number")]
+    lines = p.select(*own, F.when(k % 3 == 0, F.upper("p_name")).when(k % 3 == 1, F.concat(F.upper("p_name"), F.lit(":"))).otherwise(F.col("p_name")).alias("text"), *_edges(k * 37 % 300, k * 91 % 400, 60, 10))
+    boxes = p.select(*own, k.alias("box_id"), *_edges(k * 53 % 300, k * 17 % 400, 150, 90))
+    return anchors.heading_boxes(boxes, lines).select("doc_id", "box_id")
+
+
+def long_answers(spark, d):
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    own = [F.floor(k / 20).alias("doc_id"), F.lit(1).alias("page_number")]
+    fields = p.where(k % 2 == 0).select(*own, k.alias("field_id"), (k % 20).alias("ord"), F.when(k % 4 == 0, "Describe it").otherwise("Name").alias("label"), *_edges(k * 37 % 100 + 50, k * 91 % 300, 40, 10))
+    rules = p.select(*own, k.alias("rule_id"), *_edges(k * 13 % 60, k * 17 % 360, 140, 1))
+    lines = p.where(k % 5 == 0).select(*own, (k % 20).alias("ord"), F.when(k % 10 == 0, "").otherwise(F.col("p_name")).alias("text"), (k % 15 == 0).alias("ignorable"), *_edges(k * 7 % 90, k * 29 % 360, 40, 8))
+    return anchors.continuations(fields, rules, lines)
+
+
+def anchored_boxes(spark, d):
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    own = [F.floor(k / 20).alias("doc_id"), F.lit(1).alias("page_number")]
+    way = F.when(k % 3 == 0, "underline_right").when(k % 3 == 1, "underline_below").otherwise("underline_above")
+    marks = p.where(k % 2 == 0).select(*own, k.cast("string").alias("spec"), way.alias("strategy"), (k % 50 + 30).cast("double").alias("min_width"), F.lit(14.0).alias("height"), *_edges(k * 37 % 500, k * 91 % 700, 60, 10))
+    rules = p.select(*own, k.alias("rule_id"), *_edges(k * 53 % 500, k * 17 % 700, 20 + k % 80, 1))
+    pages = p.select(*own, F.lit(595.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+    return anchors.anchored_boxes(marks, rules, pages)
+
+
+def _plan(spark, d):
+    f = _fields(spark, d)
+    k = F.col("ord")
+    names = F.array(*map(F.lit, ("ad_soyad", "telefon", "akts", "witness_note", "birth_date", "policy", "danisman_gorusu")))
+    name = F.concat(F.get(names, (k % 7).cast("int")), F.when(k % 20 == 6, "").otherwise(F.concat(F.lit("_"), k.cast("string"))))
+    kind = F.when(k % 11 == 0, "multiline").when(k % 13 == 0, "signature").otherwise("text")
+    profile = F.when(F.col("doc_id") % 2 == 0, "student_petition_tr").otherwise("generic_printed_form")
+    fields = f.select("doc_id", profile.alias("profile"), name.alias("name"), kind.alias("kind"), "box")
+    values = fields.select("doc_id", "name", F.concat(F.lit(" "), "kind").alias("value"))
+    specs = spark.createDataFrame([("student_petition_tr", "danisman_gorusu", (164.0, 450.0, 433.0, 478.0), 9.2, 8.9, 0.8)], render.SPEC)
+    return render.plan(fields, values, specs)
+
+
+def render_plan(spark, d):
+    r = lambda c: F.round(c, 6).alias(c.split(".")[-1])
+    return _plan(spark, d).select("doc_id", "place", "name", "writer", "container", "value", r("target.left"), r("target.bottom"), r("font_size"), r("multiline_font_size"), r("baseline"), "anchor", F.array_join("warnings", ",").alias("warnings"))
+
+
+def render_summary(spark, d):
+    return render.plan_summary(_plan(spark, d))
+
+
+def evidence_candidates(spark, d):
+    o, k = _t(spark, d, "orders"), F.col("o_orderkey")
+    key = F.lit("status").alias("key")
+    values = o.select(k.alias("doc_id"), key, F.col("o_orderstatus").alias("value"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderstatus")).alias("raw_text"), F.lit("llm_page").alias("source_kind"), (k % 10 / 10.0).alias("confidence"))
+    readings = o.where(k % 2 == 0).select(k.alias("doc_id"), key, F.lit("F").alias("page_value"), F.when(k % 4 == 0, " O ").alias("page_precision_value"), F.lit("").alias("crop_value"), F.when(k % 5 == 0, "F").otherwise("Z").alias("crop_precision_value"))
+    fields = o.where(k % 7 != 0).select(k.alias("doc_id"), key, F.lit("the_status").alias("name"), (k % 2 + 1).cast("int").alias("page_number"), F.lit(0).alias("ord"))
+    pages = o.select(k.alias("doc_id"), F.lit(1).alias("page_number"), F.when(k % 9 == 0, " ").otherwise("text").alias("text"))
+    found = families.evidence_candidates(values, readings, fields, pages)
+    listed = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["value"], c["source"])), ",")
+    return found.select("doc_id", "page_number", "anchor", listed.alias("candidates"), "reason")
+
+
 QUERIES = {f.__name__: f for f in (
     evidence, resolved_values, review_reasons, filled_values, second_readings, station_scores, field_families, expected_keys, inferred_profile, checkbox_groups, marked_option,
     artifact_ids, page_texts, case_checks, case_report, overlapping_words, document_profile, annotations, layout_codes, geometry_scores, reading_order, continuation_boxes,
-    distinct_boxes, lines_and_rules,
+    distinct_boxes, lines_and_rules, heading_boxes, long_answers, anchored_boxes, render_plan, render_summary, evidence_candidates,
 )}
 
 _DATE = r"(^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$)"
@@ -297,4 +362,37 @@ SELECT CAST(k AS VARCHAR) AS name, CAST(i AS INTEGER) AS k, round(CASE WHEN n =
     "lines_and_rules": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 37 % 500 AS l, p_partkey * 91 % 200 AS t, p_partkey * 53 % 600 AS x, p_partkey * 17 % 200 AS y FROM part),
 j AS (SELECT a.k AS line_id, b.k AS rule_id, b.x - (a.l + 60) AS gap FROM a JOIN a b ON a.d = b.d WHERE b.y + 1 >= a.t - 2 AND b.y <= a.t + 10.5 AND b.x >= a.l - 6 AND b.x <= a.l + 60 + 160), r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY gap < 0, abs(gap), rule_id) AS rn FROM j)
 SELECT line_id, rule_id FROM r WHERE rn = 1""",
+    "heading_boxes": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 37 % 300 AS l, p_partkey * 91 % 400 AS t, p_partkey * 53 % 300 AS x, p_partkey * 17 % 400 AS y FROM part)
+SELECT DISTINCT b.d AS doc_id, b.k AS box_id FROM a b JOIN a ON a.d = b.d AND a.k % 3 = 0 AND a.t >= b.y - 6 AND a.t + 10 <= b.y + 96 AND a.l >= b.x - 8 AND a.l + 60 <= b.x + 158""",
+    "long_answers": """WITH f AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey % 20 AS o, p_partkey * 37 % 100 + 50 AS l, p_partkey * 91 % 300 AS t FROM part WHERE p_partkey % 4 = 0),
+u AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 13 % 60 AS l, p_partkey * 17 % 360 AS t FROM part), w AS (SELECT p_partkey // 20 AS d, p_partkey % 20 AS o, p_partkey * 29 % 360 AS t FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 10 <> 0 AND p_partkey % 15 <> 0),
+j AS (SELECT f.d, f.k, u.l, u.t, row_number() OVER (PARTITION BY f.k ORDER BY u.t, u.k) AS rn FROM f JOIN u ON f.d = u.d AND u.l <= f.l + 10 AND u.l + 140 >= f.l + 30 AND u.t + 0.5 > f.t + 13 AND u.t - (f.t + 10) <= 60
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = f.d AND w.o > f.o AND w.t <= u.t + 7 AND w.t + 8 >= u.t - 6))
+SELECT d AS doc_id, k AS field_id, CAST(min(l) AS DOUBLE) AS "left", CAST(min(t) AS DOUBLE) AS top, CAST(max(l + 140) AS DOUBLE) AS "right", CAST(max(t + 1) AS DOUBLE) AS bottom FROM j WHERE rn <= 2 GROUP BY 1, 2""",
+    "anchored_boxes": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey % 3 AS w, p_partkey % 50 + 30 AS mw, p_partkey * 37 % 500 AS l, p_partkey * 91 % 700 AS t, p_partkey * 37 % 500 + 60 AS r, p_partkey * 91 % 700 + 10 AS b FROM part WHERE p_partkey % 2 = 0),
+u AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 53 % 500 AS l, p_partkey * 17 % 700 AS t, p_partkey * 53 % 500 + 20 + p_partkey % 80 AS r FROM part),
+j AS (SELECT a.k, u.l, u.t, u.r, row_number() OVER (PARTITION BY a.k ORDER BY abs(u.t - a.b), abs(u.l - a.r), u.k) AS rn FROM a JOIN u ON a.d = u.d AND u.r - u.l >= a.mw AND CASE a.w WHEN 0 THEN u.t + 1 >= a.t - 8 AND u.t <= a.b + 18 AND u.l >= a.r - 10
+WHEN 1 THEN u.t >= a.b - 6 AND u.t <= a.b + 38 AND u.r >= a.l + 40 ELSE u.t + 1 >= a.t - 28 AND u.t <= a.b + 10 AND u.l >= a.l - 10 END),
+o AS (SELECT a.*, j.rn, j.l AS jl, j.t AS jt, j.r AS jr, CASE w WHEN 1 THEN a.l WHEN 2 THEN a.r + 8 ELSE a.r + 10 END AS ol, CASE w WHEN 1 THEN a.b + 8 WHEN 2 THEN a.t - 4 ELSE a.t - 2 END AS ot FROM a LEFT JOIN j ON j.k = a.k AND j.rn = 1)
+SELECT d AS doc_id, CAST(k AS VARCHAR) AS spec, 1 AS page_number, CAST(CASE WHEN rn = 1 THEN jl ELSE ol END AS DOUBLE) AS "left", CAST(CASE WHEN rn = 1 THEN jt + 1 ELSE greatest(0, ot) END AS DOUBLE) AS top, CAST(CASE WHEN rn = 1 THEN jr ELSE least(571, ol + mw) END AS DOUBLE) AS "right",
+CAST(CASE WHEN rn = 1 THEN least(841, jt + 15) ELSE least(818, ot + 14) END AS DOUBLE) AS bottom FROM o WHERE rn = 1 OR least(571, ol + mw) - ol >= 40""",
+    "evidence_candidates": """WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 2 + 1 ELSE 1 END AS p FROM orders),
+c AS (SELECT k, 0 AS i, s AS v, 'llm_page' AS w FROM o WHERE k % 3 <> 0 UNION ALL SELECT k, 1, 'F', 'page_candidate' FROM o WHERE k % 2 = 0 UNION ALL SELECT k, 2, 'O', 'page_precision' FROM o WHERE k % 4 = 0 UNION ALL SELECT k, 4, CASE WHEN k % 5 = 0 THEN 'F' ELSE 'Z' END, 'crop_precision' FROM o WHERE k % 2 = 0),
+f AS (SELECT k, v, min(i) AS i, arg_min(w, i) AS w FROM c GROUP BY 1, 2), g AS (SELECT k, string_agg(v || ':' || w, ',' ORDER BY i) AS l FROM f GROUP BY 1)
+SELECT o.k AS doc_id, CAST(p AS INTEGER) AS page_number, CASE WHEN o.k % 7 <> 0 THEN 'the_status' ELSE 'status' END AS anchor, coalesce(l, '') AS candidates, 'llm_page' || CASE WHEN p = 1 AND o.k % 9 <> 0 THEN '+transcript' ELSE '' END AS reason FROM o LEFT JOIN g ON g.k = o.k""",
+}
+
+_PLAN = f"""{_FIELDS}, n AS (SELECT *, doc_id % 2 = 0 AS pet, ['ad_soyad', 'telefon', 'akts', 'witness_note', 'birth_date', 'policy', 'danisman_gorusu'][k % 7 + 1] || CASE WHEN k % 20 = 6 THEN '' ELSE '_' || k END AS name, CASE WHEN k % 11 = 0 THEN 'multiline' WHEN k % 13 = 0 THEN 'signature' ELSE 'text' END AS kind, m - t AS h, r - l AS wd FROM b),
+s AS (SELECT *, pet AND name = 'danisman_gorusu' AS spec FROM n),
+w AS (SELECT *, CASE WHEN kind = 'multiline' THEN 'multiline' WHEN kind = 'signature' OR contains(name, 'date') THEN 'date_signature' WHEN contains(name, 'telefon') THEN 'compound_contact' WHEN contains(name, 'akts') THEN 'table_cell' WHEN contains(name, 'witness') OR contains(name, 'gorusu') THEN 'multiline'
+WHEN pet AND contains(name, 'ad_soyad') THEN 'inline' WHEN NOT bare AND h >= 26 THEN 'multiline' ELSE 'single_line' END AS writer FROM s),
+q AS (SELECT *, CASE WHEN bare THEN 'missing_detected_region' ELSE array_to_string(list_filter([CASE WHEN CASE WHEN spec THEN FALSE ELSE wd < 18 OR h < 8 END THEN 'tiny_target_region' END, CASE WHEN writer = 'multiline' AND h < 20 THEN 'multiline_writer_on_short_region' END], lambda x: x IS NOT NULL), ',') END AS warnings FROM w)"""
+SQL |= {
+    "render_plan": f"""WITH {_PLAN} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bare, CASE WHEN NOT bare THEN t END, CASE WHEN NOT bare THEN l END, name) AS INTEGER) AS place, name, writer, CASE writer WHEN 'table_cell' THEN 'table_cell' WHEN 'multiline' THEN 'multiline_block' WHEN 'date_signature' THEN 'date_signature_block' WHEN 'compound_contact' THEN 'compound_contact_row' WHEN 'inline' THEN 'inline_run' ELSE 'single_line_field' END AS container,
+kind AS value, CASE WHEN spec THEN 164.0 WHEN NOT bare THEN l END AS "left", CASE WHEN spec THEN 478.0 WHEN NOT bare THEN m END AS bottom,
+round(CASE WHEN spec THEN 9.2::DOUBLE WHEN NOT bare THEN CASE writer WHEN 'multiline' THEN greatest(6.0::DOUBLE, least(12.0::DOUBLE, round_even(h * 0.36::DOUBLE, 1))) WHEN 'inline' THEN greatest(6.5::DOUBLE, least(12.0::DOUBLE, round_even(h * 0.68::DOUBLE, 1))) ELSE greatest(6.0::DOUBLE, least(12.0::DOUBLE, round_even(h * 0.75::DOUBLE, 1))) END END, 6) AS font_size,
+round(CASE WHEN spec THEN 8.9::DOUBLE WHEN NOT bare AND writer = 'multiline' THEN greatest(6.0::DOUBLE, least(11.0::DOUBLE, round_even(h * 0.3::DOUBLE, 1))) END, 6) AS multiline_font_size, round(CASE WHEN spec THEN 477.2::DOUBLE WHEN NOT bare THEN greatest(t, m - 0.8::DOUBLE) END, 6) AS baseline,
+CASE WHEN pet THEN 'student_petition_tr:' ELSE 'generic_printed_form:' END || name AS anchor, warnings FROM q""",
+    "render_summary": f"""WITH {_PLAN}, g AS (SELECT doc_id, max(CASE WHEN spec OR NOT bare THEN 1 END) AS pages FROM q GROUP BY 1), v AS (SELECT doc_id, string_agg(DISTINCT x, ',' ORDER BY x) AS warnings FROM (SELECT doc_id, unnest(string_split(warnings, ',')) AS x FROM q WHERE warnings <> '') GROUP BY 1)
+SELECT q.doc_id, writer, count(*) AS fields, any_value(g.pages) AS pages, coalesce(any_value(v.warnings), '') AS warnings FROM q JOIN g USING (doc_id) LEFT JOIN v ON v.doc_id = q.doc_id GROUP BY 1, 2""",
 }

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leafline.operators import catalog, layout, repair, retry
+from leafline.operators import anchors, catalog, layout, repair, retry
 from leafline.sources import manifests, tables
 
 VALUES = "doc_id string, ord int, source_key string, value string, confidence double, source_kind string, review_reasons array<string>"
@@ -88,3 +88,25 @@ def test_a_cluster_needs_a_shared_folder():
         assert "spark.checkpoint.dir" in str(error)
     else:
         raise AssertionError("a local folder on a cluster")
+
+
+def test_anchor_phrases_take_the_closest_phrase(spark):
+    from difflib import SequenceMatcher
+
+    page = "Tarih : Ogrenci N0 12 ad ve soyadi Ogrenci No ad soyad".split()
+    words = spark.createDataFrame([("d", 1, i, w, 10.0 * i, 5.0, 10.0 * i + 8, 15.0 + i) for i, w in enumerate(page)] + [("e", 1, 0, "x", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page_number int, ord int, word string, left double, top double, right double, bottom double")
+    terms = [("number", "Öğrenci No"), ("name", "Adı Soyadı"), ("name", "ad soyad"), ("none", "")]
+    plain = lambda s: s.lower().replace(":", "").strip()
+
+    def best(asked):
+        found = (0.0, None)
+        for term in asked:
+            n = len(term.split())
+            for i in range(len(page) - n + 1):
+                score = SequenceMatcher(None, plain(" ".join(page[i : i + n])), term).ratio()
+                if score >= 0.72 and score > found[0]:
+                    found = (score, (10.0 * i, 5.0, 10.0 * (i + n - 1) + 8, 15.0 + i + n - 1))
+        return found
+
+    got = {(r.doc_id, r.spec): (r.score, (r.left, r.top, r.right, r.bottom)) for r in anchors.anchor_phrases(words, terms).collect()}
+    assert got == {("d", "number"): best(["ogrenci no"]), ("d", "name"): best(["adi soyadi", "ad soyad"])}
