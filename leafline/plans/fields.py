@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import anchors, catalog, dedup, families, identity, layout, render, repair, retry, review, verify
+from ..operators import anchors, catalog, crops, dedup, families, identity, layout, render, repair, retry, review, verify
 from ..operators.assign import filled_values as fill
 from ..sources import manifests
 from .queries import NORM
@@ -297,10 +297,33 @@ def evidence_candidates(spark, d):
     return found.select("doc_id", "page_number", "anchor", listed.alias("candidates"), "reason")
 
 
+def crop_policy(spark, d):
+    """Which orders' values are read again, and whether the second reading is better."""
+    k = F.col("o_orderkey")
+    labels = F.array(*map(F.lit, ("order date", "year", "fax no", "store address", "supplier", "approval", "note")))
+    o = _t(spark, d, "orders").select(
+        k.alias("doc_id"), F.lit("v").alias("key"), F.get(labels, (k % 7).cast("int")).alias("label"), F.when(k % 13 == 0, "checkbox").otherwise("text").alias("kind"),
+        F.when(k % 5 == 0, "").when(k % 5 == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k % 5 == 2, "A/1").otherwise(F.col("o_orderpriority")).alias("value"),
+        F.lit(0.5).alias("confidence"), F.lit("llm_page").alias("source_kind"), F.array().cast("array<string>").alias("review_reasons"),
+        F.when(k % 6 == 0, F.date_format("o_orderdate", "yyyy")).when(k % 6 == 1, F.date_format("o_orderdate", "dd.MM.yyyy")).when(k % 6 == 2, "12 Long Road, Some Town").when(k % 6 == 3, "B-2").when(k % 6 == 4, " ").otherwise(F.col("o_orderpriority")).alias("other"),
+    )
+    again = o.where("doc_id % 11 <> 0").select("doc_id", "key", F.col("other").alias("value"), (F.col("doc_id") % 2 == 0).alias("hinted"))
+    out = crops.refined(o.drop("other"), again)
+    return out.select("doc_id", "value", F.round("confidence", 6).alias("confidence"), "source_kind", F.array_join("review_reasons", ",").alias("reasons"))
+
+
+def long_readings(spark, d):
+    c = _t(spark, d, "conversations")
+    one, two = F.col("text"), F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit("\n555-123-4567 more")).otherwise(F.lit("")))
+    label = F.when(F.col("conv_id") % 3 == 0, "describe it").when(F.col("conv_id") % 3 == 1, "contact info").otherwise("name")
+    return c.select("conv_id", "turn", crops.long_asked(label, one).alias("asked"), crops.long_better(one, two).alias("better"), crops.long_better(two, one).alias("back"))
+
+
 QUERIES = {f.__name__: f for f in (
     evidence, resolved_values, review_reasons, filled_values, second_readings, station_scores, field_families, expected_keys, inferred_profile, checkbox_groups, marked_option,
     artifact_ids, page_texts, case_checks, case_report, overlapping_words, document_profile, annotations, layout_codes, geometry_scores, reading_order, continuation_boxes,
     distinct_boxes, lines_and_rules, heading_boxes, long_answers, anchored_boxes, render_plan, render_summary, evidence_candidates,
+    crop_policy, long_readings,
 )}
 
 _DATE = r"(^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$)"
@@ -396,3 +419,18 @@ CASE WHEN pet THEN 'student_petition_tr:' ELSE 'generic_printed_form:' END || na
     "render_summary": f"""WITH {_PLAN}, g AS (SELECT doc_id, max(CASE WHEN spec OR NOT bare THEN 1 END) AS pages FROM q GROUP BY 1), v AS (SELECT doc_id, string_agg(DISTINCT x, ',' ORDER BY x) AS warnings FROM (SELECT doc_id, unnest(string_split(warnings, ',')) AS x FROM q WHERE warnings <> '') GROUP BY 1)
 SELECT q.doc_id, writer, count(*) AS fields, any_value(g.pages) AS pages, coalesce(any_value(v.warnings), '') AS warnings FROM q JOIN g USING (doc_id) LEFT JOIN v ON v.doc_id = q.doc_id GROUP BY 1, 2""",
 }
+
+_CROP_DATE = r"(^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$|^(?i:permanent)$)"
+_WORDS = "len(list_filter(string_split(trim({0}), ' '), lambda w: w <> ''))"
+_DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
+_CODE = "({0} <> '' AND length({0}) <= 16 AND NOT regexp_matches({0}, '" + _CROP_DATE + "') AND regexp_matches({0}, '[/.-]'))"
+SQL |= {
+    "crop_policy": f"""WITH o AS (SELECT o_orderkey AS k, ['order date', 'year', 'fax no', 'store address', 'supplier', 'approval', 'note'][o_orderkey % 7 + 1] AS l, o_orderkey % 13 = 0 AS box,
+CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN o_orderkey % 5 = 2 THEN 'A/1' ELSE o_orderpriority END AS v,
+CASE WHEN o_orderkey % 6 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 6 = 1 THEN strftime(o_orderdate, '%d.%m.%Y') WHEN o_orderkey % 6 = 2 THEN '12 Long Road, Some Town' WHEN o_orderkey % 6 = 3 THEN 'B-2' WHEN o_orderkey % 6 = 4 THEN ' ' ELSE o_orderpriority END AS c FROM orders),
+g AS (SELECT *, k % 11 <> 0 AND NOT box AND (v = '' OR CASE l WHEN 'order date' THEN FALSE WHEN 'note' THEN {_CODE.replace('{0}', 'v')} ELSE TRUE END) AND trim(c) <> '' AND (v = '' OR ({NORM.format('v')} <> {NORM.format('c')} AND CASE l WHEN 'order date' THEN regexp_matches(c, '{_CROP_DATE}') WHEN 'year' THEN regexp_full_match(c, '(?:19|20)[0-9][0-9]')
+WHEN 'fax no' THEN {_DIGITS.format('c')} >= {_DIGITS.format('v')} WHEN 'store address' THEN [{_WORDS.format('c')}, {_DIGITS.format('c')}, length(trim(c))] > [{_WORDS.format('v')}, {_DIGITS.format('v')}, length(trim(v))] WHEN 'supplier' THEN {_CODE.replace('{0}', 'c')} WHEN 'approval' THEN NOT regexp_full_match(c, '[0-9]+') ELSE FALSE END)) AS go FROM o)
+SELECT k AS doc_id, CASE WHEN go THEN c ELSE v END AS value, round(CASE WHEN go THEN CASE WHEN k % 2 = 0 THEN 0.62 - 0.08 ELSE 0.70 END - CASE WHEN l = 'order date' THEN 0.12 ELSE 0.0 END ELSE 0.5 END::DOUBLE, 6) AS confidence, CASE WHEN NOT go THEN 'llm_page' WHEN k % 2 = 0 THEN 'llm_crop_ocr_hint' ELSE 'llm_crop' END AS source_kind,
+CASE WHEN NOT go THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 2 = 0 THEN 'ocr_confusion_risk' END, CASE WHEN l = 'order date' THEN 'ambiguous_date_family' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM g""",
+    "long_readings": r"""SELECT conv_id, turn, conv_id % 3 <> 2 AND CASE WHEN trim(text) = '' THEN conv_id % 3 = 1 ELSE contains(text, chr(10)) OR conv_id % 3 = 1 OR length(trim(text)) >= 140 END AS asked, turn % 2 = 0 AS better, trim(text) <> '' AND FALSE AS back FROM conversations""",
+}

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leafline.operators import anchors, catalog, layout, repair, retry
+from leafline.operators import anchors, catalog, crops, layout, repair, retry
 from leafline.sources import manifests, tables
 
 VALUES = "doc_id string, ord int, source_key string, value string, confidence double, source_kind string, review_reasons array<string>"
@@ -110,3 +110,25 @@ def test_anchor_phrases_take_the_closest_phrase(spark):
 
     got = {(r.doc_id, r.spec): (r.score, (r.left, r.top, r.right, r.bottom)) for r in anchors.anchor_phrases(words, terms).collect()}
     assert got == {("d", "number"): best(["ogrenci no"]), ("d", "name"): best(["adi soyadi", "ad soyad"])}
+
+
+def test_merged_parts(spark):
+    cases = [
+        (["the car hit the wall", "car hit the wall"], "the car hit the wall"),
+        (["hit the wall", "the car hit the wall\nat noon"], "the car hit the wall\nat noon"),
+        (["he saw the red car stop", "the red car stop at noon\nRob Chen 518-555-1112"], "he saw the red car stop at noon\nRob Chen 518-555-1112"),
+        (["alpha beta gamma", "zzz 11 qqq"], "alpha beta gamma"),  # unrelated
+        (["a first line\n\na second line", None, "", "A first line!\na third line"], "a first line\na second line\na third line"),
+        ([], ""),
+    ]
+    frame = spark.createDataFrame([(k, parts) for k, (parts, _) in enumerate(cases)], "k int, parts array<string>")
+    got = {r.k: r.t for r in frame.select("k", crops.merged_parts(F.col("parts")).alias("t")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
+
+
+def test_crops_of_names_and_stations(spark):
+    rows = [("complainant name", "Rob Chen SI of Police", "Rob Chen", True), ("complainant name", "Mr Chen", "Robert Chen", True), ("complainant name", "Rob Chen", "Keisha Long", False), ("complainant name", "Rob", "Rob 2 Chen", False),
+            ("police station", "station 12", "North Airport", True), ("police station", "North Airport", "12", False), ("police station", "", "x", True), ("statutes", "34", "34/107", True), ("termination date", "x", None, False), ("note", "a", "b", False)]
+    frame = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, label string, v string, c string")
+    got = {r.i: r.b for r in frame.select("i", crops.better(F.col("label"), F.col("v"), F.col("c")).alias("b")).collect()}
+    assert got == {i: r[3] for i, r in enumerate(rows)}
