@@ -178,7 +178,8 @@ def _lists(entries: DataFrame) -> DataFrame:
     ``pos`` is how many rarer shingles of the set come before. Lists with the same members are one: the rarest
     of their shingles stands for all, as it comes before the others in every member.
     """
-    heavy = entries.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
+    # shuffled once, for the counts and for the lists: hardly any shingle comes twice in a task, so nothing is gained by counting before
+    heavy = entries.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).where("token is not null").repartition("token")
     mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "sid")).alias(f"mark{seed}")
     counts = heavy.groupBy("token").agg(F.count("*").alias("c"), mark(0), mark(1), F.min(F.struct("sid", "n", "pos")).alias("hub")).where("c > 1")
     chosen = counts.groupBy("c", "mark0", "mark1").agg(F.min(F.struct("hub.pos", "token", "hub")).alias("k")).select("k.token", "c", "k.hub")
