@@ -129,6 +129,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, id
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
             F.when(text.isNotNull() & F.col(id_col).isNotNull(), F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"))).alias("grp"),
             F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
@@ -141,12 +142,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = ROUNDS, id
     labels = propagate(members, n_shards, capacity, rounds)
 
     bins = max(64, min(1 << 16, total // (n_shards * 10_000)))
-    placed = rows.join(labels, F.col("id") == F.col("node"), "left").select("id", "size", "text_crc32", "carried", F.coalesce("label", F.lit(-1)).alias("label"), F.pmod(F.xxhash64(F.lit(SEED + 2), "id", "grp"), F.lit(bins)).alias("bin"), "grp")
+    # rows without a shard are as many as those of all shards, and rows without an id are told apart by their number alone
+    label, spread = F.coalesce("label", F.lit(-1)), F.when(F.col("id").isNull(), F.xxhash64(F.lit(SEED + 2), "row")).otherwise(F.xxhash64(F.lit(SEED + 2), "id", "grp"))
+    placed = rows.join(labels, F.col("id") == F.col("node"), "left").select("id", "size", "text_crc32", "carried", label.alias("label"), F.pmod(spread, F.when(label < 0, bins * n_shards).otherwise(bins)).alias("bin"), "grp", "row")
     placed = stored(placed, "shard-placed")
     counts = stored(placed.groupBy("label", "bin").agg(F.count("*").alias("c")), "shard-bins")
     before = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("label", "bin", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("label", "bin").orderBy("id", "grp")
+    within = Window.partitionBy("label", "bin").orderBy("id", "grp", "row")
     ranked = placed.join(offsets, ["label", "bin"]).withColumn("pos", F.col("before") + F.row_number().over(within) - 1)
 
     load = {r.label: r.c for r in counts.groupBy("label").agg(F.sum("c").alias("c")).collect()}
