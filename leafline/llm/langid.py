@@ -291,6 +291,12 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and whose language is told with a score of ``least`` or more."""
-    found = identify(docs, learn(learnable(docs)))
+    """The rows of ``docs`` whose text has letters and whose language is told with a score of ``least`` or more.
+
+    Where nothing can be learned (no row with a language outside the held-out ones), every row whose text has a letter stays.
+    """
+    model = learn(learnable(docs))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model)
     return found.where((F.col("lid_lang") != UNDETERMINED) & (F.col("lid_score") >= least)).select(*docs.columns)

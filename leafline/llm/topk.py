@@ -82,7 +82,8 @@ def exact_topk(queries: DataFrame, items: DataFrame, id_col: str, vector_col: st
     runs the threshold algorithm over the block's sorted component lists. The
     best k of each block meet in a window whose limit Spark applies before its
     shuffle. Shorter vectors count as padded with zeros. Rows with a repeated id
-    are separate candidates; null ids take no part; no items gives no rows.
+    are separate candidates; null ids take no part; no items gives no rows. Components so large that
+    a score may pass 2 ** 53 raise an error, as scores would no longer be exact.
     Other columns of the inputs are ignored.
 
     Returns query_id long, rank int, item_id long, score long.
