@@ -1,6 +1,5 @@
 """The training-data operators against brute force, and on nulls, empties, ties, repeats, empty tables and clashing names."""
 
-import hashlib
 import itertools
 import random
 import re
