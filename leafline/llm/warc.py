@@ -19,6 +19,8 @@ EMPTY_FRAME = b"\x50\x2a\x4d\x18\x00\x00\x00\x00"
 DICTIONARY_MAGIC = 0x184D2A5D
 CRLF = b"\r\n"
 
+#: Partitions that the pages of one payload are dealt to.
+SALTS = 16
 LEVEL = 3
 DICTIONARY_BYTES = 32 << 10
 #: Records of an archive that its dictionary is built from: their count and bytes at most.
@@ -104,22 +106,23 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes a WARC record for each row of ``pages`` (page_id, url, html) to archives under ``path``.
 
-    An archive holds one partition of the rows and is a file of Zstandard frames: first a skippable frame with the
+    An archive holds one partition of the rows, whose size is that of Spark's shuffle partitions, as a payload is stored once and its revisits are dealt to ``SALTS`` partitions. It is a file of Zstandard frames: first a skippable frame with the
     (compressed) dictionary that was built from the archive's own first records, then
     a frame for each record. Spark's text writer puts an empty skippable frame
     after each, so the files are valid streams that any Hadoop file system can hold.
 
     Of pages with equal payloads of ``min_bytes`` or more, the one with the largest
     page_id is a response and the others are revisits that refer to it; rows that
-    repeat that page_id are responses too. Null html counts as an empty payload and
+    repeat that page_id are responses too. A page_id is a whole number. Null html counts as an empty payload and
     reads back as one; a null page_id is smaller than any other. Extra columns are
     ignored; an empty table writes no archive.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("n_bytes"), F.sha1(html.cast("binary")).alias("sha1"))
     firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count("*").alias("n"))
-    firsts = firsts.where("n > 1 and winner is not null").select("sha1", "winner")
-    marked = rows.join(firsts, "sha1", "left").withColumn("refers_to", F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))).drop("winner")
+    firsts = firsts.where("n > 1 and winner is not null").select("sha1", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    marked = rows.join(firsts, ["sha1", "salt"], "left").withColumn("refers_to", F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))).drop("winner", "salt")
     marked = marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     frames = marked.mapInArrow(_frames, "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin1")).option("compression", "none").text(path)
