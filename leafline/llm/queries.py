@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, secrets, sharding, tokens, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, phrases, secrets, sharding, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_decontamination": decontaminate.op8_query,
     "op9_warc_archives": warc.op9_query,
     "op10_toxicity_mil": toxicity.op10_query,
+    "op11_phrase_collocations": phrases.op11_query,
     "op12_token_counts": tokens.op12_query,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op7_secret_trigrams": secrets.OP7_SQL,
     "op8_suffix_decontamination": decontaminate.OP8_SQL,
     "op9_warc_archives": warc.OP9_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
 }
