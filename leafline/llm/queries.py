@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, langid, mixing, phrases, secrets, sharding, tokens, topk, toxicity, warc
+from . import chat, decontaminate, jaccard, langid, mixing, phrases, secrets, sharding, tokens, topk, toxicity, variants, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity_mil": toxicity.op10_query,
     "op11_phrase_collocations": phrases.op11_query,
     "op12_token_counts": tokens.op12_query,
+    "op13_spelling_variants": variants.op13_query,
 }
 
 SQL = {
@@ -28,4 +29,5 @@ SQL = {
     "op8_suffix_decontamination": decontaminate.OP8_SQL,
     "op9_warc_archives": warc.OP9_SQL,
     "op11_phrase_collocations": phrases.OP11_SQL,
+    "op13_spelling_variants": variants.OP13_SQL,
 }
