@@ -44,13 +44,18 @@ def borrowed_values(values: DataFrame) -> DataFrame:
     return plain.join(twice, ["doc_id", "plain"], "left_semi").select("doc_id", "source_key")
 
 
-def overlap_words(left: Column, right: Column, most: int = 8, least: int = 3) -> Column:
-    """Words at the end of ``left`` that ``right`` starts with: the longest run of ``most`` down to ``least``; 0 without one."""
-    a, b = F.split(text.normalize_text(left), " "), F.split(text.normalize_text(right), " ")
+def plain_overlap(left: Column, right: Column, most: int = 8, least: int = 3) -> Column:
+    """``overlap_words`` of normalised texts."""
+    a, b = F.split(left, " "), F.split(right, " ")
     runs = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda k: (F.size(a) >= k) & (F.size(b) >= k) & (F.slice(a, F.size(a) - F.least(k, F.size(a)) + 1, k) == F.slice(b, 1, k)))
     return F.coalesce(F.get(runs, F.lit(0)), F.lit(0))
 
 
+def overlap_words(left: Column, right: Column, most: int = 8, least: int = 3) -> Column:
+    """Words at the end of ``left`` that ``right`` starts with: the longest run of ``most`` down to ``least``; 0 without one."""
+    return plain_overlap(text.normalize_text(left), text.normalize_text(right), most, least)
+
+
 def marked_choice(value: Column) -> Column:
     """The token before the first check mark of a list of choices, or after it if none is before; the value itself without a mark."""
     tokens = F.filter(F.split(value, r"\s+"), lambda t: t != "")

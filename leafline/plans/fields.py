@@ -319,11 +319,27 @@ def long_readings(spark, d):
     return c.select("conv_id", "turn", crops.long_asked(label, one).alias("asked"), crops.long_better(one, two).alias("better"), crops.long_better(two, one).alias("back"))
 
 
+def long_texts(spark, d):
+    """Descriptions of parts and orders whose last lines are read one by one and merged with what was read before."""
+    k, p = F.col("p_partkey"), _t(spark, d, "part")
+    name = F.concat("p_name", F.lit(" of "), "p_type", F.lit(" sort"))
+    tail = F.expr("substring_index(concat(p_name, ' of ', p_type, ' sort'), ' ', -3)")
+    rows = p.select(k.alias("doc_id"), F.lit("describe_it").alias("key"), F.when(k % 6 == 4, "").otherwise(F.concat(name, F.lit("\n"))).alias("value"), F.lit(0.5).alias("confidence"), F.lit("llm_page").alias("source_kind"), F.array().cast("array<string>").alias("review_reasons"))
+    part = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    part = part.withColumn("name", F.when(F.col("i") == 0, "describe_it").otherwise(F.concat(F.lit("describe_it__body_"), F.col("i").cast("string"))))
+    segments = part.select(k.alias("doc_id"), "name", F.lit("Describe it").alias("label"), F.lit("text").alias("kind"), (k % 7 > 0).alias("has_box"))
+    one = F.when(k % 6 == 0, name).when(k % 6 == 1, F.concat(F.lit("A "), name, F.lit("\nno "), k.cast("string"))).when(k % 6 == 2, F.concat(tail, F.lit(" no. "), k.cast("string"))).otherwise(F.lit("0 0"))
+    two = F.when(k % 6 == 2, F.lit("call 555-123-4567")).when(k % 6 == 5, F.lit("mail a@b.org")).otherwise(F.lit(" "))
+    read = part.where("i > 0").select(k.alias("doc_id"), "name", F.when(F.col("i") == 1, "too early").when(F.col("i") == 2, one).otherwise(two).alias("value"), (k % 4 == 0).alias("hinted"))
+    out = crops.long_refined(rows, segments, read)
+    return out.select("doc_id", "value", F.round("confidence", 6).alias("confidence"), "source_kind", F.array_join("review_reasons", ",").alias("reasons"))
+
+
 QUERIES = {f.__name__: f for f in (
     evidence, resolved_values, review_reasons, filled_values, second_readings, station_scores, field_families, expected_keys, inferred_profile, checkbox_groups, marked_option,
     artifact_ids, page_texts, case_checks, case_report, overlapping_words, document_profile, annotations, layout_codes, geometry_scores, reading_order, continuation_boxes,
     distinct_boxes, lines_and_rules, heading_boxes, long_answers, anchored_boxes, render_plan, render_summary, evidence_candidates,
-    crop_policy, long_readings,
+    crop_policy, long_readings, long_texts,
 )}
 
 _DATE = r"(^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}$|^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}$)"
@@ -433,4 +449,8 @@ WHEN 'fax no' THEN {_DIGITS.format('c')} >= {_DIGITS.format('v')} WHEN 'store ad
 SELECT k AS doc_id, CASE WHEN go THEN c ELSE v END AS value, round(CASE WHEN go THEN CASE WHEN k % 2 = 0 THEN 0.62 - 0.08 ELSE 0.70 END - CASE WHEN l = 'order date' THEN 0.12 ELSE 0.0 END ELSE 0.5 END::DOUBLE, 6) AS confidence, CASE WHEN NOT go THEN 'llm_page' WHEN k % 2 = 0 THEN 'llm_crop_ocr_hint' ELSE 'llm_crop' END AS source_kind,
 CASE WHEN NOT go THEN '' ELSE array_to_string(list_filter([CASE WHEN k % 2 = 0 THEN 'ocr_confusion_risk' END, CASE WHEN l = 'order date' THEN 'ambiguous_date_family' END], lambda x: x IS NOT NULL), ',') END AS reasons FROM g""",
     "long_readings": r"""SELECT conv_id, turn, conv_id % 3 <> 2 AND CASE WHEN trim(text) = '' THEN conv_id % 3 = 1 ELSE contains(text, chr(10)) OR conv_id % 3 = 1 OR length(trim(text)) >= 140 END AS asked, turn % 2 = 0 AS better, trim(text) <> '' AND FALSE AS back FROM conversations""",
+    "long_texts": r"""WITH p AS (SELECT p_partkey AS k, concat(p_name, ' of ', p_type, ' sort') AS t FROM part),
+m AS (SELECT *, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 6 = 1 THEN concat('A ', t, chr(10), 'no ', k) WHEN k % 6 = 2 THEN concat(t, ' no. ', k, chr(10), 'call 555-123-4567') WHEN k % 6 = 5 THEN concat(t, chr(10), 'mail a@b.org') END AS w FROM p)
+SELECT k AS doc_id, CASE WHEN w IS NOT NULL THEN w WHEN k % 6 = 4 THEN '' ELSE concat(t, chr(10)) END AS value, round(CASE WHEN w IS NULL THEN 0.5 WHEN k % 4 = 0 THEN 0.54 ELSE 0.70 END::DOUBLE, 6) AS confidence,
+CASE WHEN w IS NULL THEN 'llm_page' WHEN k % 4 = 0 THEN 'llm_crop_ocr_hint' ELSE 'llm_crop' END AS source_kind, CASE WHEN w IS NOT NULL AND k % 4 = 0 THEN 'ocr_confusion_risk' ELSE '' END AS reasons FROM m""",
 }

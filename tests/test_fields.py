@@ -1,5 +1,10 @@
+import random
+import re
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
+from leafline.functions import similarity
 from leafline.operators import anchors, catalog, crops, layout, repair, retry
 from leafline.sources import manifests, tables
 
@@ -91,8 +96,6 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_anchor_phrases_take_the_closest_phrase(spark):
-    from difflib import SequenceMatcher
-
     page = "Tarih : Ogrenci N0 12 ad ve soyadi Ogrenci No ad soyad".split()
     words = spark.createDataFrame([("d", 1, i, w, 10.0 * i, 5.0, 10.0 * i + 8, 15.0 + i) for i, w in enumerate(page)] + [("e", 1, 0, "x", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page_number int, ord int, word string, left double, top double, right double, bottom double")
     terms = [("number", "Öğrenci No"), ("name", "Adı Soyadı"), ("name", "ad soyad"), ("none", "")]
@@ -126,6 +129,78 @@ def test_merged_parts(spark):
     assert got == {k: want for k, (_, want) in enumerate(cases)}
 
 
+def _plain(s):
+    return " ".join(re.findall("[a-z]+|[0-9]+", s.lower()))
+
+
+def _merged(parts):
+    """The rule of merging, over lists of lines."""
+    have = []
+    signals = lambda x: x.count("@") + len(re.findall(r"\+?\d[\d()\-\s]{6,}\d", x))
+
+    def overlap(a, b):
+        a, b = _plain(a).split(), _plain(b).split()
+        return max((k for k in range(3, 9) if k <= min(len(a), len(b)) and a[-k:] == b[:k]), default=0)
+
+    for part in parts:
+        new = [x.strip() for x in (part or "").splitlines() if x.strip()]
+        old_text, new_text = _plain(" ".join(have)), _plain(" ".join(new))
+        if not have or (new_text and new_text not in old_text and old_text in new_text):
+            have = new if new else have
+        elif new_text and new_text not in old_text:
+            if k := overlap(have[-1], new[0]):
+                have[-1] = " ".join(have[-1].split() + new.pop(0).split()[k:])
+            for x in new:
+                like = SequenceMatcher(None, _plain(have[-1]), _plain(x)).ratio() if _plain(have[-1]) and _plain(x) else 0.0
+                if _plain(x) and _plain(x) not in map(_plain, have) and (signals(x) > signals(have[-1]) or overlap(have[-1], x) or like >= 0.28):
+                    have.append(x)
+    return "\n".join(have)
+
+
+def test_merged_parts_of_random_texts(spark):
+    r = random.Random(7)
+    words = "the car hit wall at noon he saw red stop a@b.c 555-123-4567 zzz 11 qqq, It. seen".split()
+    line = lambda: " ".join(r.choices(words, k=r.randint(0, 9)))
+    rows = []
+    for k in range(250):
+        parts = ["\n".join(line() for _ in range(r.randint(0, 3))) for _ in range(r.randint(0, 3))]
+        if parts and r.random() < 0.6:  # goes on where the first part ends
+            parts.append(" ".join(parts[0].split()[-r.randint(1, 9) :]) + r.choice(["", " and on", "\n"]) + line())
+        rows.append((k, parts))
+    got = {x.k: x.t for x in spark.createDataFrame(rows, "k int, parts array<string>").select("k", crops.merged_parts(F.col("parts")).alias("t")).collect()}
+    assert got == {k: _merged(parts) for k, parts in rows}
+    assert sum("\n" in t for t in got.values()) > 20
+
+
+def test_shared_letters_are_those_of_matching_blocks(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(120):
+        n, letters = r.choice([3, 10, 60, 260]), r.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz 0123456789"])
+        a = "".join(r.choices(letters, k=r.randint(0, n)))
+        b = list(a if r.random() < 0.5 else "".join(r.choices(letters, k=r.randint(0, n))))
+        for _ in range(r.randint(0, 6)):
+            b.insert(r.randint(0, len(b)), r.choice(letters))
+        rows.append((k, a, "".join(b)))
+    got = {x.k: x.m for x in spark.createDataFrame(rows, "k int, a string, b string").select("k", similarity.shared_letters(F.col("a"), F.col("b")).alias("m")).collect()}
+    assert got == {k: sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()) for k, a, b in rows}
+
+
+def test_long_texts_read_in_parts(spark):
+    rows = [("a", "describe", "he saw the red car stop", 0.9, "llm_page", ["missing_value"]), ("b", "contact info", "", 0.0, "llm_page", []), ("c", "describe", "short", 0.9, "llm_page", []), ("d", "name", "x\ny", 0.9, "llm_page", [])]
+    current = spark.createDataFrame([(d, k, v + ("\n" if d == "a" else ""), c, s, x) for d, k, v, c, s, x in rows], "doc_id string, key string, value string, confidence double, source_kind string, review_reasons array<string>")
+    boxes = [(d, f"{k}__body_{i}" if i else k, k, "text", True) for d, k in (("a", "describe"), ("b", "contact info"), ("c", "describe"), ("d", "name"), ("e", "contact info")) for i in range(4)]
+    segments = spark.createDataFrame(boxes + [("a", "describe__body_9", "describe", "checkbox", True)], "doc_id string, name string, label string, kind string, has_box boolean")
+    read = [("a", 1, "never read"), ("a", 2, "the red car stop at noon"), ("a", 3, "Rob Chen 518-555-1112"), ("b", 2, "Rob"), ("b", 3, "a@b.c 555-123-4567"), ("c", 3, "short and long and longer again"), ("d", 3, "z"), ("e", 2, "Al 555-123-4567"), ("e", 3, " ")]
+    readings = spark.createDataFrame([(d, f"{dict(a='describe', b='contact info', c='describe', d='name', e='contact info')[d]}__body_{i}", v, d == "a") for d, i, v in read], "doc_id string, name string, value string, hinted boolean")
+    got = {(r.doc_id, r.key): r for r in crops.long_refined(current, segments, readings).collect()}
+    assert set(got) == {("a", "describe"), ("b", "contact info"), ("c", "describe"), ("d", "name")}  # one reading of an empty text is too few
+    assert got["a", "describe"][2:] == ("he saw the red car stop at noon\nRob Chen 518-555-1112", 0.54, "llm_crop_ocr_hint", ["ocr_confusion_risk"])
+    assert got["b", "contact info"].value == "Rob\na@b.c 555-123-4567" and got["b", "contact info"].source_kind == "llm_crop"
+    assert got["c", "describe"].value == "short" and got["d", "name"].value == "x\ny"
+    assert crops.long_refined(current.limit(0), segments, readings.limit(0)).count() == 0
+
+
 def test_crops_of_names_and_stations(spark):
     rows = [("complainant name", "Rob Chen SI of Police", "Rob Chen", True), ("complainant name", "Mr Chen", "Robert Chen", True), ("complainant name", "Rob Chen", "Keisha Long", False), ("complainant name", "Rob", "Rob 2 Chen", False),
             ("police station", "station 12", "North Airport", True), ("police station", "North Airport", "12", False), ("police station", "", "x", True), ("statutes", "34", "34/107", True), ("termination date", "x", None, False), ("note", "a", "b", False)]
