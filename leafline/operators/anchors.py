@@ -35,21 +35,24 @@ def heading_boxes(boxes: DataFrame, lines: DataFrame) -> DataFrame:
 def continuations(fields: DataFrame, rules: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, field_id, left, top, right, bottom: the box around the next two rules that a long answer goes on over.
 
-    A rule counts if it spans the field, lies below it, at most 60 units, and no text after the field's own line (``ord``) is near it.
+    A rule counts if it spans the field, lies below it, at most 60 units, and no text after the field's own line (``ord``) is near it, up to the first line that begins below it.
     fields: doc_id, page_number, field_id, label, ord and edges; rules: doc_id, page_number, rule_id and edges; lines: doc_id, page_number, ord, text, ignorable, top, bottom.
     """
     long = F.lit(False)
     for word in LONG_ANSWERS:
         long = long | F.lower("label").contains(word)
     own = fields.where(long).select("doc_id", "page_number", "field_id", "ord", *[F.col(c).alias(f"f_{c}") for c in ("left", "top", "right", "bottom")])
-    below = rules.join(own, ["doc_id", "page_number"]).where(
+    page = ["doc_id", "page_number"]
+    below = rules.join(own, page).where(
         (F.col("left") <= F.col("f_left") + 10) & (F.col("right") >= F.col("f_right") - 10)
         & ((F.col("top") + F.col("bottom")) / 2 > (F.col("f_top") + F.col("f_bottom")) / 2 + 8) & (F.col("top") - F.col("f_bottom") <= 60)
     )
-    words = lines.where((F.trim("text") != "") & ~F.col("ignorable")).select("doc_id", "page_number", F.col("ord").alias("l_ord"), F.col("top").alias("l_top"), F.col("bottom").alias("l_bottom"))
-    b, w = below.alias("b"), words.alias("w")
-    near = (F.col("b.doc_id") == F.col("w.doc_id")) & (F.col("b.page_number") == F.col("w.page_number")) & (F.col("w.l_ord") > F.col("b.ord")) & (F.col("w.l_top") <= F.col("b.bottom") + 6) & (F.col("w.l_bottom") >= F.col("b.top") - 6)
-    free = b.join(w, near, "left_anti")
+    after = lines.select(*page, F.col("ord").alias("l_ord"), ((F.trim("text") != "") & ~F.col("ignorable")).alias("l_full"), F.col("top").alias("l_top"), F.col("bottom").alias("l_bottom"))
+    b, w = below.alias("b"), after.alias("w")
+    seen = b.join(w, [*[F.col(f"b.{c}") == F.col(f"w.{c}") for c in page], F.col("w.l_ord") > F.col("b.ord"), F.col("w.l_bottom") >= F.col("b.top") - 6], "left")
+    past = F.col("l_top") > F.col("bottom") + 6
+    seen = seen.groupBy("b.doc_id", "b.field_id", *[f"b.{c}" for c in ("top", "rule_id", "left", "right", "bottom")]).agg(F.min(F.when(past, F.col("l_ord"))).alias("stop"), F.min(F.when(~past & F.col("l_full"), F.col("l_ord"))).alias("near"))
+    free = seen.where("near is null or stop < near")
     first = free.select("doc_id", "field_id", F.struct("top", "rule_id", "left", "right", "bottom").alias("r")).groupBy("doc_id", "field_id").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 2).alias("rs"))
     side = lambda c, pick: pick(F.transform("rs", lambda r: r[c])).alias(c)
     return first.select("doc_id", "field_id", side("left", F.array_min), side("top", F.array_min), side("right", F.array_max), side("bottom", F.array_max))

@@ -61,7 +61,7 @@ def candidates_on_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Interval join of text lines with the rules drawn near them on the page; both are dealt into bands of 32 units."""
     wide = lines.withColumn("band", F.explode(F.sequence(F.floor((F.col("top") - 2) / 32), F.floor((F.col("bottom") + 0.5) / 32))))
     near = rules.select("doc_id", "page_number", F.col("rule_id"), *[F.col(c).alias(f"r_{c}") for c in ("left", "top", "right", "bottom")]).withColumn("band", F.explode(F.sequence(F.floor(F.col("r_top") / 32), F.floor(F.col("r_bottom") / 32))))
-    hit = (F.col("r_bottom") >= F.col("top") - 2) & (F.col("r_top") <= F.col("bottom") + 0.5) & (F.col("r_left") >= F.col("left") - 6) & (F.col("r_left") <= F.col("right") + 160)
+    hit = (F.col("r_bottom") >= F.col("top") - 2) & (F.col("r_top") <= F.col("bottom") + 0.5) & (F.col("r_right") >= F.col("left") - 6) & (F.col("r_left") <= F.col("right") + 160)
     first = F.greatest(F.floor((F.col("top") - 2) / 32), F.floor(F.col("r_top") / 32))
     return wide.join(near, ["doc_id", "page_number", "band"]).where(hit & (F.col("band") == first)).drop("band")
 

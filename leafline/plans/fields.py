@@ -399,14 +399,14 @@ SELECT doc_id, round(CAST(CASE WHEN n = 1 THEN CASE WHEN none > 0 THEN 0.0 WHEN
 SELECT CAST(k AS VARCHAR) AS name, CAST(i AS INTEGER) AS k, round(CASE WHEN n = 1 THEN t ELSE t + h / n * i + 2 END, 6) AS top, round(CASE WHEN n = 1 THEN m ELSE t + h / n * (i + 1) - 2 END, 6) AS bottom FROM e""",
     "distinct_boxes": "SELECT p_partkey % 3 AS kind, min(p_partkey) AS ord FROM part GROUP BY p_partkey % 3, round_even(p_partkey % 40 / 2.0::DOUBLE, 0), round_even(p_partkey % 6 / 2.0::DOUBLE, 0)",
     "lines_and_rules": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 37 % 500 AS l, p_partkey * 91 % 200 AS t, p_partkey * 53 % 600 AS x, p_partkey * 17 % 200 AS y FROM part),
-j AS (SELECT a.k AS line_id, b.k AS rule_id, b.x - (a.l + 60) AS gap FROM a JOIN a b ON a.d = b.d WHERE b.y + 1 >= a.t - 2 AND b.y <= a.t + 10.5 AND b.x >= a.l - 6 AND b.x <= a.l + 60 + 160), r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY gap < 0, abs(gap), rule_id) AS rn FROM j)
+j AS (SELECT a.k AS line_id, b.k AS rule_id, b.x - (a.l + 60) AS gap FROM a JOIN a b ON a.d = b.d WHERE b.y + 1 >= a.t - 2 AND b.y <= a.t + 10.5 AND b.x + 80 >= a.l - 6 AND b.x <= a.l + 60 + 160), r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY gap < 0, abs(gap), rule_id) AS rn FROM j)
 SELECT line_id, rule_id FROM r WHERE rn = 1""",
     "heading_boxes": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 37 % 300 AS l, p_partkey * 91 % 400 AS t, p_partkey * 53 % 300 AS x, p_partkey * 17 % 400 AS y FROM part)
 SELECT DISTINCT b.d AS doc_id, b.k AS box_id FROM a b JOIN a ON a.d = b.d AND a.k % 3 = 0 AND a.t >= b.y - 6 AND a.t + 10 <= b.y + 96 AND a.l >= b.x - 8 AND a.l + 60 <= b.x + 158""",
     "long_answers": """WITH f AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey % 20 AS o, p_partkey * 37 % 100 + 50 AS l, p_partkey * 91 % 300 AS t FROM part WHERE p_partkey % 4 = 0),
-u AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 13 % 60 AS l, p_partkey * 17 % 360 AS t FROM part), w AS (SELECT p_partkey // 20 AS d, p_partkey % 20 AS o, p_partkey * 29 % 360 AS t FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 10 <> 0 AND p_partkey % 15 <> 0),
+u AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 13 % 60 AS l, p_partkey * 17 % 360 AS t FROM part), a AS (SELECT p_partkey // 20 AS d, p_partkey % 20 AS o, p_partkey * 29 % 360 AS t, p_partkey % 10 <> 0 AND p_partkey % 15 <> 0 AS text FROM part WHERE p_partkey % 5 = 0), w AS (SELECT * FROM a WHERE text),
 j AS (SELECT f.d, f.k, u.l, u.t, row_number() OVER (PARTITION BY f.k ORDER BY u.t, u.k) AS rn FROM f JOIN u ON f.d = u.d AND u.l <= f.l + 10 AND u.l + 140 >= f.l + 30 AND u.t + 0.5 > f.t + 13 AND u.t - (f.t + 10) <= 60
-WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = f.d AND w.o > f.o AND w.t <= u.t + 7 AND w.t + 8 >= u.t - 6))
+WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = f.d AND w.o > f.o AND w.t <= u.t + 7 AND w.t + 8 >= u.t - 6 AND NOT EXISTS (SELECT 1 FROM a WHERE a.d = f.d AND a.o > f.o AND a.o < w.o AND a.t > u.t + 7)))
 SELECT d AS doc_id, k AS field_id, CAST(min(l) AS DOUBLE) AS "left", CAST(min(t) AS DOUBLE) AS top, CAST(max(l + 140) AS DOUBLE) AS "right", CAST(max(t + 1) AS DOUBLE) AS bottom FROM j WHERE rn <= 2 GROUP BY 1, 2""",
     "anchored_boxes": """WITH a AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey % 3 AS w, p_partkey % 50 + 30 AS mw, p_partkey * 37 % 500 AS l, p_partkey * 91 % 700 AS t, p_partkey * 37 % 500 + 60 AS r, p_partkey * 91 % 700 + 10 AS b FROM part WHERE p_partkey % 2 = 0),
 u AS (SELECT p_partkey // 20 AS d, p_partkey AS k, p_partkey * 53 % 500 AS l, p_partkey * 17 % 700 AS t, p_partkey * 53 % 500 + 20 + p_partkey % 80 AS r FROM part),
