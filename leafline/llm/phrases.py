@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import discard, stored
@@ -29,6 +29,10 @@ class Sizes(NamedTuple):
     #: Hashes that a task counts together before it passes them on, and bytes of text whose phrases it counts together.
     together: int = 2_000_000
     group_bytes: int = 4 << 20
+    #: Bits of the hashes that are counted: enough for a gram to have one to itself in 100 TB, and a quarter less to shuffle than 64.
+    counted_bits: int = 44
+    #: Partitions of the input whose phrases one task counts, so that fewer partial counts of one phrase are shuffled.
+    merged_partitions: int = 4
     #: A gram with this share of all words (one in so many) is joined by broadcast; there are no more of them of any length.
     hot_share: int = 1000
 
@@ -113,7 +117,7 @@ def _frequent(texts: DataFrame, k: int, tables, least: int, sizes: Sizes) -> np.
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values, counts = np.unique(np.concatenate(held) >> np.uint64(64 - sizes.counted_bits), return_counts=True)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["h", "c"])
 
@@ -126,8 +130,8 @@ def _frequent(texts: DataFrame, k: int, tables, least: int, sizes: Sizes) -> np.
             yield flush()
 
     often = texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    slot = F.shiftrightunsigned("h", 64 - sizes.bits)
-    bits = often.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - sizes.bits}) & 63 as int))")).alias("bits")).toArrow()
+    slot = F.shiftright("h", sizes.counted_bits - sizes.bits)
+    bits = often.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (sizes.bits - 6), dtype=np.int64)
     out[bits["at"].to_numpy()] = bits["bits"].to_numpy()
     return out.view(np.uint8)
@@ -174,20 +178,20 @@ def frequent_grams(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN
         marks[k] = _frequent(texts, k, tables, min_count, sizes)
         tables.destroy()
         tables = context.broadcast(dict(marks))
-    counts = _counted(texts, longest, tables, sizes).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
+    merged = texts.coalesce(max(texts.rdd.getNumPartitions() // sizes.merged_partitions, context.defaultParallelism))
+    counts = _counted(merged, longest, tables, sizes).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("f"))
     out = stored(counts.where((F.col("k") == 0) | (F.col("f") >= min_count)), "phrase-grams")
     tables.destroy()
     return out
 
 
-def _with_count(cuts: DataFrame, grams: DataFrame, hot: DataFrame, part: str, name: str) -> DataFrame:
-    """``cuts`` with the count of the gram in ``part``. The few grams that begin or end very many phrases come by broadcast and take no part in the join by key."""
-    table = lambda g, n: g.select("lang", F.col("phrase").alias(part), F.col("f").alias(n))
-    seen = cuts.join(F.broadcast(table(hot, "_hot")), ["lang", part], "left")
+def _with_count(cuts: DataFrame, grams: DataFrame, hot: DataFrame, part: Column, name: str) -> DataFrame:
+    """``cuts`` with the count of the gram ``part``. The few grams that begin or end very many phrases come by broadcast and take no part in the join by key."""
+    table = lambda g, n: g.select("lang", F.col("phrase").alias("_part"), F.col("f").alias(n))
+    seen = cuts.withColumn("_part", part).join(F.broadcast(table(hot, "_hot")), ["lang", "_part"], "left")
     # a line feed is in no word, so these keys match nothing and spread
-    seen = seen.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(part)).otherwise(F.concat(F.lit("\n"), "phrase")))
-    cold = grams.select("lang", F.col("phrase").alias("_key"), F.col("f").alias("_cold"))
-    return seen.join(cold, ["lang", "_key"], "left").withColumn(name, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_key")
+    seen = seen.withColumn("_part", F.when(F.col("_hot").isNull(), F.col("_part")).otherwise(F.concat(F.lit("\n"), "phrase")))
+    return seen.join(table(grams, "_cold"), ["lang", "_part"], "left").withColumn(name, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_part")
 
 
 def _uncovered(phrases: DataFrame, longest: int, cover_percent: int) -> DataFrame:
@@ -224,13 +228,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     hot = grams.where(F.col("k").between(1, longest - 1) & (F.col("f") * sizes.hot_share >= total))
     phrases = grams.where("k >= 2").withColumnRenamed("f", "a")
     cuts = phrases.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-    cuts = cuts.withColumn("first", F.expr("substring_index(phrase, ' ', cut)")).withColumn("rest", F.expr("substring(phrase, length(first) + 2)"))
     parts = grams.where(F.col("k").between(1, longest - 1))
-    cuts = _with_count(_with_count(cuts, parts, hot, "first", "l"), parts, hot, "rest", "r")
+    cuts = _with_count(cuts, parts, hot, F.expr("substring_index(phrase, ' ', cut)"), "l")
+    cuts = _with_count(cuts, parts, hot, F.expr("substring_index(phrase, ' ', cut - k)"), "r")
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     cuts = cuts.withColumn("top", wide("a") * wide("a") * F.lit(SCALE).cast("decimal(7,0)")).withColumn("below", wide("l") * wide("r"))
     cuts = cuts.withColumn("score", F.expr("top div below"))
-    scored = cuts.groupBy("lang", "phrase", "k", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("m"))
+    scored = cuts.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.first("a").alias("a"), F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     kept = _uncovered(scored.select("lang", "phrase", "k", "a", "m.l", "m.r", "m.score"), longest, cover_percent)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)

@@ -54,7 +54,7 @@ def test_random_texts(spark, longest, least, cover, top):
 
 def test_full_tables_and_small_groups_change_nothing(spark):
     rows = texts(9, 150)
-    sizes = phrases.Sizes(bits=8, group_bytes=300, together=50, hot_share=3)
+    sizes = phrases.Sizes(bits=8, group_bytes=300, together=50, counted_bits=12, hot_share=3)
     assert found(phrases.collocations(frame(spark, rows), sizes=sizes)) == brute(rows)
 
 
