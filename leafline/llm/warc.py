@@ -23,6 +23,8 @@ CRLF = b"\r\n"
 SALTS = 16
 LEVEL = 3
 DICTIONARY_BYTES = 32 << 10
+#: An archive is closed once its frames have so many bytes; a record is never parted.
+ARCHIVE_BYTES = 32 << 20
 #: Records of an archive that its dictionary is built from: their count and bytes at most.
 SAMPLE_RECORDS = 400
 SAMPLE_BYTES = 2 << 20
@@ -69,47 +71,51 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO if trained else zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The frames of one archive, which holds the records of one partition: a dictionary frame, then a frame a record."""
-
-    def records() -> Iterator[bytes]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                payload = (r["html"] or "").encode("utf-8", "surrogatepass")
-                digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                yield warc_record(r["page_id"], r["url"], digest, b"" if r["refers_to"] is not None else payload, r["n_bytes"], "revisit" if r["refers_to"] is not None else "response", r["refers_to"])
-
-    source, waiting, size = records(), [], 0
-    for record in source:
-        waiting.append(record)
-        size += len(record)
-        if len(waiting) >= SAMPLE_RECORDS or size >= SAMPLE_BYTES:
-            break
-    if not waiting:
-        return
-    raw = build_dictionary(waiting)
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
-    squeezed = zstandard.ZstdCompressor(level=19).compress(raw)
-    out = [struct.pack("<II", DICTIONARY_MAGIC, len(squeezed)) + squeezed]
-    held = 0
-    for part in (waiting, source):
-        for record in part:
-            out.append(packer.compress(record))
-            held += len(out[-1])
-            if held > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                out, held = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-
-
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    for batch in batches:
+        for r in zip(*(batch.column(c) for c in ("page_id", "url", "sha1", "html", "n_bytes", "refers_to")), strict=True):
+            page_id, url, sha1, html, n_bytes, refers_to = (x.as_py() for x in r)
+            payload = (html or "").encode("utf-8", "surrogatepass")
+            digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+            yield warc_record(page_id, url, digest, b"" if refers_to is not None else payload, n_bytes, "revisit" if refers_to is not None else "response", refers_to)
+
+
+def _archives(records: Iterator[bytes], archive_bytes: int) -> Iterator[bytes]:
+    """Whole archives: a dictionary frame, built from the archive's first records, then a frame a record until the size is reached."""
+    while True:
+        waiting, size = [], 0
+        for record in records:
+            waiting.append(record)
+            size += len(record)
+            if len(waiting) >= SAMPLE_RECORDS or size >= min(SAMPLE_BYTES, archive_bytes):
+                break
+        if not waiting:
+            return
+        raw = build_dictionary(waiting)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw))
+        squeezed = zstandard.ZstdCompressor(level=19).compress(raw)
+        out = [struct.pack("<II", DICTIONARY_MAGIC, len(squeezed)) + squeezed]
+        held = len(out[0])
+        for part in (waiting, records):
+            for record in part:
+                out.append(packer.compress(record))
+                held += len(out[-1])
+                if part is records and held >= archive_bytes:
+                    break
+            if held >= archive_bytes:
+                break
+        yield b"".join(out)
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a WARC record for each row of ``pages`` (page_id, url, html) to archives under ``path``.
 
-    An archive holds one partition of the rows, whose size is that of Spark's shuffle partitions, as a payload is stored once and its revisits are dealt to ``SALTS`` partitions. It is a file of Zstandard frames: first a skippable frame with the
+    An archive is a file of Zstandard frames: first a skippable frame with the
     (compressed) dictionary that was built from the archive's own first records, then
-    a frame for each record. Spark's text writer puts an empty skippable frame
-    after each, so the files are valid streams that any Hadoop file system can hold.
+    a frame for each record. It is closed when it has ``archive_bytes``, or with its partition, so a task holds one
+    archive at most, writes as many as its rows fill, and a reader's row is no larger; a payload
+    is stored once, and its revisits are dealt to ``SALTS`` partitions. Spark's text writer puts one archive in a file and an empty skippable frame
+    after it, so the files are valid streams that any Hadoop file system can hold.
 
     Of pages with equal payloads of ``min_bytes`` or more, the one with the largest
     page_id is a response and the others are revisits that refer to it; rows that
@@ -124,8 +130,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     marked = rows.join(firsts, ["sha1", "salt"], "left").withColumn("refers_to", F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner"))).drop("winner", "salt")
     marked = marked.withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
-    frames = marked.mapInArrow(_frames, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode("latin1")).option("compression", "none").text(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for archive in _archives(_records(batches), archive_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["archive"])
+
+    archives = marked.mapInArrow(run, "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", EMPTY_FRAME.decode("latin1")).option("compression", "none").text(path)
 
 
 def iter_frames(data: bytes) -> Iterator[bytes]:
