@@ -70,7 +70,9 @@ def anchor_phrases(words: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     places = asked.where((F.col("term") != "") & (F.size("ws") >= F.col("n")))
     chunks = places.select("doc_id", "page_number", "spec", "rank", "term", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1), lambda i: F.slice("ws", i, F.col("n")))).alias("at", "c"))
     phrase = F.array_join(F.transform("c", lambda w: w["word"]), " ")
-    scored = chunks.withColumn("score", similarity.text_similarity(phrase, F.col("term"))).where(F.col("score") >= CLOSE_PHRASE)
+    # matching blocks are no longer than the shorter text, so most phrases need no score
+    chunks = chunks.withColumn("plain", text.normalize_text(phrase)).where(2 * F.least(F.length("plain"), F.length("term")) >= CLOSE_PHRASE * (F.length("plain") + F.length("term")))
+    scored = chunks.withColumn("score", similarity.text_similarity(F.col("plain"), F.col("term"))).where(F.col("score") >= CLOSE_PHRASE)
     box = F.struct(F.get("c", F.lit(0))["left"].alias("left"), F.get("c", F.lit(0))["top"].alias("top"), F.element_at("c", -1)["right"].alias("right"), F.array_max(F.transform("c", lambda w: w["bottom"])).alias("bottom"))
     best = scored.groupBy("doc_id", "page_number", "spec").agg(F.max_by(F.struct(box.alias("box"), "score"), F.struct("score", -F.col("rank"), -F.col("at"))).alias("b"))
     return best.select("doc_id", "page_number", "spec", "b.box.*", "b.score")

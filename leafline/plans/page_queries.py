@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pages
+from ..operators import pages, petition
 
 #: Lines of a page by kind: text (null: the part's name), left and right edge, and whether it is a mark to tick.
 LINES = [
@@ -44,6 +44,22 @@ def page_fields(spark, d):
     return found.select("doc_id", "ord", "page_number", "label", "kind", "left", "top", "right", "bottom", "confidence", "hint", F.col("continuation.top").alias("c_top"), F.col("continuation.bottom").alias("c_bottom"))
 
 
+#: Printed terms of petition pages by variant: first words, then each term on a line of its own.
+PETITIONS = {0: ("Dilekçe Formu", [t for v, *_, terms, _k, _s, _w, _h, _c in petition.SPECS if v == petition.GENERIC for t in terms[:1]]), 1: ("TEK DERS BAŞVURU FORMU", [t for v, *_, terms, _k, _s, _w, _h, _c in petition.SPECS if v == petition.SINGLE for t in terms[-1:]])}
+
+
+def petition_fields(spark, d):
+    """Fields of a page a part, in turn of either variant; where a term stands, and which have a rule, depends on the part."""
+    printed = [(v, 0, title) for v, (title, _) in PETITIONS.items()] + [(v, i + 1, t) for v, (_, terms) in PETITIONS.items() for i, t in enumerate(terms)]
+    terms = spark.createDataFrame(printed, "variant int, line int, term string")
+    part = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS doc_id", "1 AS page_number", "cast(p_partkey % 2 as int) AS variant", "p_partkey AS k")
+    lines = part.join(F.broadcast(terms), "variant").withColumn("y", F.expr("line * 37 + k % 5")).withColumn("x", F.expr("30 + k * (line + 3) % 120"))
+    words = lines.select("doc_id", "page_number", "line", "x", "y", F.posexplode(F.split("term", " ")).alias("i", "word")).selectExpr("doc_id", "page_number", "line * 10 + i AS ord", "word", "cast(x + i * 40 as double) AS left", "cast(y as double) AS top", "cast(x + i * 40 + 36 as double) AS right", "cast(y + 10 as double) AS bottom")
+    drawn = lines.where("(k + line) % 3 > 0").selectExpr("doc_id", "page_number", "line AS ord", "cast(x + 150 as double) AS x0", "cast(y + 8 + k % 7 as double) AS y0", "cast(x + 150 + 60 + k * 7 % 300 as double) AS x1", "cast(y + 9 + k % 7 as double) AS y1")
+    sizes = part.selectExpr("doc_id", "page_number", "595.0D AS width", "842.0D AS height")
+    return petition.detect_petition_fields(words, drawn, sizes)
+
+
 _KINDS = ", ".join("({}, {}, {}, {}, {}, {})".format(a, b, "NULL" if t is None else f"'{t}'", x, y, m) for a, b, t, x, y, m in LINES)
 _ANSWERS = rf"""RECURSIVE kinds(kind, ord, text, l, r, mark) AS (VALUES {_KINDS}),
 part_ AS (SELECT p_partkey // 24 AS d, p_partkey // 12 % 2 + 1 AS p, p_partkey AS k, p_partkey % 12 AS n, p_partkey * 31 % 13 AS kind, p_name, p_partkey % 12 * 22 + p_partkey * 5 % 4 AS y FROM part),
@@ -93,4 +109,30 @@ first AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY d, p, kind
 SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY p, n, branch, place) AS INTEGER) AS ord, CAST(p AS INTEGER) AS page_number, label, kind, l AS "left", t AS top, r AS "right", b AS bottom, CAST(confidence AS DOUBLE) AS confidence, text AS hint, c_top, c_bottom FROM first""",
 }
 
-QUERIES = {f.__name__: f for f in (line_answers, page_fields)}
+_SPEC_ROWS = ", ".join("('{}', {}, '{}', '{}', '{}', '{}', '{}', {}, {}, {})".format(v, i, part, label, t.replace("'", "''"), kind, way, w, h, conf) for i, (v, part, label, terms, kind, way, w, h, conf) in enumerate(petition.SPECS) for t in terms)
+_TERM_ROWS = ", ".join("({}, {}, '{}')".format(v, i, t.replace("'", "''")) for v, (title, terms) in PETITIONS.items() for i, t in enumerate([title, *terms]))
+_FIXED_ROWS = ", ".join("({}, '{}', '{}', {}, {}, {}, {})".format(len(petition.SPECS) + 1 + i, *x) for i, x in enumerate(petition.FIXED))
+SQL["petition_fields"] = f"""WITH terms(v, line, term) AS (VALUES {_TERM_ROWS}), specs(variant, rank, part, label, term, kind, way, mw, h, confidence) AS (VALUES {_SPEC_ROWS}), fixed(rank, label, kind, l, t, r, b) AS (VALUES {_FIXED_ROWS}),
+lines AS (SELECT p_partkey AS d, p_partkey AS k, CASE WHEN v = 1 THEN '{petition.SINGLE}' ELSE '{petition.GENERIC}' END AS variant, line, term, line * 37 + p_partkey % 5 AS y, 30 + p_partkey * (line + 3) % 120 AS x FROM part JOIN terms ON v = p_partkey % 2),
+words AS (SELECT d, variant, line, x, y, string_split(lower(term), ' ') AS w FROM lines),
+asked AS (SELECT DISTINCT variant, rank, part, label, lower(term) AS term, string_split(lower(term), ' ') AS a FROM specs),
+hits AS (SELECT d, s.rank, s.term, s.part, s.label, x + (i - 1) * 40 AS l, y AS t, x + (i + len(a) - 2) * 40 + 36 AS r, y + 10 AS b, line * 10 + i AS ord
+FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words) g JOIN asked s ON s.variant = g.variant AND i + len(a) - 1 <= len(w) AND CASE WHEN len(a) = 1 THEN contains(w[i], a[1]) ELSE ends_with(w[i], a[1]) AND starts_with(w[i + len(a) - 1], a[len(a)]) AND w[i + 1 : i + len(a) - 2] = a[2 : len(a) - 1] END
+WHERE NOT (s.variant = '{petition.SINGLE}' AND s.label = 'tarih') OR y <= {petition.DATE_ABOVE}),
+first AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY d, rank, term ORDER BY ord) = 1),
+anchor AS (SELECT a.d, a.l, a.t, a.r, a.b, s.* EXCLUDE (term) FROM (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY d, rank ORDER BY t, l) = 1) a JOIN (SELECT DISTINCT ON (rank) * FROM specs) s USING (rank)),
+rules AS (SELECT d, line AS id, (x + 150)::DOUBLE AS l, greatest(0, y + 8 + k % 7 - 18)::DOUBLE AS t, (x + 210 + k * 7 % 300)::DOUBLE AS r, (y + 14 + k % 7)::DOUBLE AS b FROM lines WHERE (k + line) % 3 > 0 AND 60 + k * 7 % 300 >= 70),
+near AS (SELECT a.d, a.rank, u.l, u.t, u.r FROM anchor a JOIN rules u ON u.d = a.d AND u.r - u.l >= a.mw AND CASE way WHEN 'underline_right' THEN u.b >= a.t - 8 AND u.t <= a.b + 18 AND u.l >= a.r - 10 WHEN 'underline_below' THEN u.t >= a.b - 6 AND u.t <= a.b + 38 AND u.r >= a.l + 40 ELSE u.b >= a.t - 28 AND u.t <= a.b + 10 AND u.l >= a.l - 10 END
+WHERE part IN ('anchor', 'contact') QUALIFY row_number() OVER (PARTITION BY a.d, a.rank ORDER BY abs(u.t - a.b), abs(u.l - a.r), u.t, u.l) = 1),
+boxed AS (SELECT a.d, a.variant, a.rank, a.part, a.label, a.kind, a.confidence, n.l IS NOT NULL AS ruled, coalesce(n.l, CASE way WHEN 'underline_below' THEN a.l WHEN 'underline_above' THEN a.r + 8 ELSE a.r + 10 END) AS l, CASE way WHEN 'underline_below' THEN a.b + 8 WHEN 'underline_above' THEN a.t - 4 ELSE a.t - 2 END AS high, greatest(0, coalesce(n.t + 1, high)) AS t, n.r AS nr, a.mw, a.h FROM anchor a LEFT JOIN near n USING (d, rank) WHERE part IN ('anchor', 'contact')),
+chosen AS (SELECT * EXCLUDE (nr, mw, h, high, ruled), coalesce(nr, least(595.0 - 24, l + mw)) AS r, CASE WHEN ruled THEN least(841.0, t + h) ELSE least(818.0, high + h) END AS b FROM boxed WHERE ruled OR least(571.0, l + mw) - l >= 40),
+contact AS (SELECT *, l + (r - l) * 0.46::DOUBLE AS split FROM chosen WHERE part = 'contact'),
+free AS (SELECT d, rank, label, kind, confidence, l, t, r, b FROM chosen WHERE part = 'anchor' UNION ALL SELECT d, rank, label, kind, confidence, l, t, greatest(l + 70, split - 4), t + 16 FROM contact UNION ALL SELECT d, rank + 1, 'e_posta', kind, 0.88, least(r - 110, split + 4), t, r, t + 16 FROM contact),
+ends AS (SELECT d, label, t - 12 AS till FROM anchor WHERE part = 'end'),
+every AS (SELECT * FROM free UNION ALL SELECT d, rank, label, kind, confidence, greatest(l - 18, 0), b + 8, r + 18, b + 44 FROM anchor WHERE part = 'cell' UNION ALL SELECT d, rank, label, kind, confidence, r + 6, t - 2, least(523, r + 260), b + 10 FROM anchor WHERE part = 'signature'
+UNION ALL SELECT a.d, rank, a.label, kind, confidence, 70, b + 12, 525, coalesce(till, least(802, b + 180)) FROM anchor a LEFT JOIN ends USING (d, label) WHERE part = 'section' AND coalesce(till, least(802, b + 180)) - (b + 12) >= 40
+UNION ALL SELECT p_partkey, f.rank, f.label, f.kind, 0.90, f.l, f.t, f.r, f.b FROM part, fixed f WHERE p_partkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM free x WHERE x.d = p_partkey AND x.label = f.label)),
+kept AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY d, label, kind, round_even(l::DOUBLE, 0), round_even(t::DOUBLE, 0), round_even(r::DOUBLE, 0), round_even(b::DOUBLE, 0) ORDER BY rank) = 1)
+SELECT d AS doc_id, CAST(row_number() OVER (PARTITION BY d ORDER BY rank) AS INTEGER) AS ord, 1 AS page_number, CASE WHEN d % 2 = 1 THEN '{petition.SINGLE}' ELSE '{petition.GENERIC}' END AS variant, label, kind, l::DOUBLE AS "left", t::DOUBLE AS top, r::DOUBLE AS "right", b::DOUBLE AS bottom, confidence::DOUBLE AS confidence FROM kept"""
+
+QUERIES = {f.__name__: f for f in (line_answers, page_fields, petition_fields)}

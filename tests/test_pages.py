@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafline.operators import pages
+from leafline.operators import pages, petition
 
 SPANS = "doc_id string, page_number int, line int, ord int, text string, font string, left double, top double, right double, bottom double"
 DRAWN = "doc_id string, page_number int, ord int, x0 double, y0 double, x1 double, y1 double"
@@ -50,3 +50,20 @@ def test_a_page(spark):
     assert (got[0].left, got[0].right, got[1].confidence) == (65.0, 105.0, 0.66)
     assert tuple(got[4].continuation) == (0.0, 422.0, 310.0, 464.0)
     assert pages.detect_fields(spark.createDataFrame([], SPANS), spark.createDataFrame(drawn, DRAWN)).count() == 0
+
+
+def test_petition_pages(spark):
+    word = lambda d, p, i, w, x, y: (d, p, i, w, float(x), float(y), float(x + 40), float(y + 10))
+    rows = [word("a", 1, 0, "Ogrenci", 30, 50), word("a", 1, 1, "N0", 80, 50), word("a", 1, 2, "GANO", 30, 100), word("a", 1, 3, None, 30, 120), word("a", 2, 0, "GANO", 30, 100)]
+    rows += [word("b", 1, i, w, 30 + 45 * i, 20) for i, w in enumerate("Tek Ders Başvuru Formu".split())] + [word("b", 1, 9, "Tarih", 30, 300), word("b", 1, 10, "Tel", 30, 400), word("b", 1, 11, "No", 75, 400), word("b", 1, 12, "/", 120, 400), word("b", 1, 13, "E-posta", 165, 400)]
+    words = spark.createDataFrame(rows, "doc_id string, page_number int, ord int, word string, left double, top double, right double, bottom double")
+    drawn = spark.createDataFrame([("b", 1, 0, 210.0, 415.0, 510.0, 415.0), ("b", 1, 1, 210.0, 405.0, 260.0, 405.0)], DRAWN)
+    sizes = spark.createDataFrame([("a", 1, 595.0, 842.0), ("a", 2, 595.0, 842.0), ("b", 1, 500.0, 400.0), ("c", 1, 595.0, 842.0)], "doc_id string, page_number int, width double, height double")
+    got = {(x.doc_id, x.page_number, x.label): x for x in petition.detect_petition_fields(words, drawn, sizes).collect()}
+    assert {k for k in got if k[0] == "a"} == {("a", 1, "ogrenci_no"), ("a", 1, "gano")}  # the misread label; the second page repeats the first
+    assert (got["a", 1, "gano"].left, got["a", 1, "gano"].top) == (80.0, 98.0) and got["a", 1, "ogrenci_no"].top == 68.0
+    own = {k[2] for k in got if k[0] == "b"}
+    assert "tarih" not in own and {"telefon", "e_posta", "ders_kodu", "fakulte_birim"} <= own and "danisman_gorusu" not in own
+    phone, mail = got["b", 1, "telefon"], got["b", 1, "e_posta"]
+    assert (phone.left, phone.top, phone.right) == (210.0, 398.0, 210 + 300 * 0.46 - 4) and (mail.right, mail.confidence) == (510.0, 0.88)
+    assert got["b", 1, "ders_notu"].right == 496.0 and petition.detect_petition_fields(words.limit(0), drawn, sizes).count() == 0
