@@ -76,6 +76,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def slugify(text: Column, fallback: str = "field") -> Column:
     return F.coalesce(F.nullif(F.replace(normalize_text(text), F.lit(" "), F.lit("_")), F.lit("")), F.lit(fallback))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import text
 from .layout import TINY_HEIGHT, TINY_WIDTH
 
 #: Parts of names that call for a writer, in the order in which they are looked for.
@@ -52,8 +53,34 @@ def _size(box: Column, rule: str) -> Column:
     return F.greatest(F.lit(least), F.least(F.lit(most), F.bround(g.height(box) * share, 1)))
 
 
+#: What parts contacts, and a date in a text.
+CONTACT_PARTS, DATE_WITHIN = r"\s*[/;|\n]\s*", r"\b[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}\b"
+_RUNS = "array<struct<text:string,role:string>>"
+
+
+def runs(way: Column, value: Column) -> Column:
+    """array<struct<text, role>>: what a writer writes of a value, in order. Joined with what parts them, the texts give the value but for its white space.
+
+    Contacts are parted and named by what they hold; a date and a signature by the first slash; long texts by lines. A blank value has no runs.
+    """
+    plain = text.squeeze(value)
+    one = lambda c, role: F.struct(c.alias("text"), (F.lit(role) if isinstance(role, str) else role).alias("role"))
+    filled = lambda xs: F.filter(xs, lambda x: x["text"] != "")
+    body = F.array(one(plain, "body"))
+    named = lambda x: F.when(x.rlike(f"(?i){text.EMAIL}"), "email").when(x.rlike(text.PHONE), "phone").otherwise("body")
+    contact = filled(F.transform(F.split(plain, CONTACT_PARTS), lambda x: one(x, named(x))))
+    slash = F.instr(plain, "/")
+    halves = filled(F.array(one(text.strip(F.left(plain, slash - 1)), "date"), one(text.strip(F.substring(plain, slash + 1, F.length(plain))), "signature")))
+    dated = F.when((slash > 0) & (F.size(halves) > 0), halves).when(plain.rlike(DATE_WITHIN), F.array(one(plain, "date"))).otherwise(body)
+    kept = F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), r"\r\n|\r|\n"), text.squeeze), lambda x: x != "")
+    lines = F.transform(kept, lambda x, i: one(x, F.concat(F.lit("line_"), (i + 1).cast("string"))))
+    none = F.array().cast(_RUNS)
+    found = F.when(way == "compound_contact", F.when(F.size(contact) > 0, contact).otherwise(body)).when(way == "date_signature", dated).when(way == "multiline", lines).otherwise(body)
+    return F.when(plain == "", none).otherwise(found.cast(_RUNS))
+
+
 def plan(fields: DataFrame, values: DataFrame, specs: DataFrame) -> DataFrame:
-    """A row a field in reading order: doc_id, place, name, writer, container, value, target, font_size, multiline_font_size, baseline, anchor, warnings.
+    """A row a field in reading order: doc_id, place, name, writer, container, value, target, font_size, multiline_font_size, baseline, anchor, warnings, runs.
 
     fields: doc_id, profile, name, kind, box (page_number, left, top, right, bottom); values: doc_id, name, value; ``specs`` (``SPEC``) say where and how large a profile
     writes a field, instead of its own box (the target is then the profile's, so no warning can name a difference between them). A field without a box has neither sizes nor a baseline; a missing value is blank.
@@ -80,7 +107,7 @@ def plan(fields: DataFrame, values: DataFrame, specs: DataFrame) -> DataFrame:
         "doc_id", F.row_number().over(order).alias("place"), "name", "writer", F.element_at(containers, way).alias("container"), F.trim(F.coalesce("value", F.lit(""))).alias("value"), "target",
         F.coalesce("font_size", size).alias("font_size"), F.coalesce("multiline_font_size", lines).alias("multiline_font_size"),
         F.when(aim.isNotNull(), F.greatest(aim["top"], aim["bottom"] - F.coalesce("baseline_inset", F.lit(0.8)))).alias("baseline"),
-        F.concat_ws(":", F.nullif("profile", F.lit("")), F.lower(F.trim("name"))).alias("anchor"), warnings.alias("warnings"),
+        F.concat_ws(":", F.nullif("profile", F.lit("")), F.lower(F.trim("name"))).alias("anchor"), warnings.alias("warnings"), runs(way, F.col("value")).alias("runs"),
     )
 
 
