@@ -17,6 +17,10 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")))
 
 
+#: Scores below this are exact as doubles, whatever the order of their sums; score columns are 64 bits wide.
+EXACT, LONG = 2.0**53, 1 << 63
+
+
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
@@ -24,6 +28,14 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _whole(vectors: pd.Series, width: int) -> np.ndarray:
+    """The same as whole numbers of any size."""
+    out = np.full((len(vectors), width), 0, dtype=object)
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = [int(x) for x in v]
+    return out
+
+
 def threshold_topk(ids: np.ndarray, items: np.ndarray, query: np.ndarray, skip: int | None, k: int, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and scores of the k best of ``items`` for one query.
 
@@ -37,7 +49,7 @@ def threshold_topk(ids: np.ndarray, items: np.ndarray, query: np.ndarray, skip:
     n = len(items)
     used = np.flatnonzero(query)
     seen = np.zeros(n, dtype=bool)
-    scores = np.zeros(0)
+    scores = np.zeros(0, dtype=items.dtype)
     at = np.zeros(0, dtype=np.int64)
     depth, done = min(32, n), 0
     if not len(used):
@@ -58,7 +70,7 @@ def threshold_topk(ids: np.ndarray, items: np.ndarray, query: np.ndarray, skip:
         at = np.concatenate((at, fresh))
         scores = np.concatenate((scores, items[fresh] @ query))
         if len(at) > k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+            kth = sorted(scores)[-k] if scores.dtype == object else np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= kth
             at, scores = at[keep], scores[keep]
         if depth >= n:
@@ -68,8 +80,8 @@ def threshold_topk(ids: np.ndarray, items: np.ndarray, query: np.ndarray, skip:
             if scores.min() > bound:
                 break
         done, depth = depth, min(n, depth * 2)
-    order = np.lexsort((ids[at], -scores))[:k]
-    return at[order], scores[order]
+    best = sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k] if scores.dtype == object else np.lexsort((ids[at], -scores))[:k]
+    return at[best], scores[best]
 
 
 def exact_topk(queries: DataFrame, items: DataFrame, id_col: str, vector_col: str, k: int = 5, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -82,8 +94,9 @@ def exact_topk(queries: DataFrame, items: DataFrame, id_col: str, vector_col: st
     runs the threshold algorithm over the block's sorted component lists. The
     best k of each block meet in a window whose limit Spark applies before its
     shuffle. Shorter vectors count as padded with zeros. Rows with a repeated id
-    are separate candidates; null ids take no part; no items gives no rows. Components so large that
-    a score may pass 2 ** 53 raise an error, as scores would no longer be exact.
+    are separate candidates; null ids take no part; no items gives no rows. A block in which
+    a score may pass 2 ** 53 is worked in whole numbers of any size, which is slower and as exact; a score that
+    64 bits can't hold is given as the nearest that they can, and ranks by what it is within its block.
     Other columns of the inputs are ignored.
 
     Returns query_id long, rank int, item_id long, score long.
@@ -100,14 +113,14 @@ def exact_topk(queries: DataFrame, items: DataFrame, id_col: str, vector_col: st
         if len(qs) and len(cs):
             width = max(1, int(qs.v.map(len).max()), int(cs.v.map(len).max()))
             query, item = _matrix(qs.v, width), _matrix(cs.v, width)
-            if np.abs(query).max() * np.abs(item).max() * width >= 2.0**53:
-                raise ValueError("components are too large for exact scores")
+            if np.abs(query).max() * np.abs(item).max() * width >= EXACT:
+                query, item = _whole(qs.v, width), _whole(cs.v, width)
             ids, lists = cs.id.to_numpy(), np.argsort(item, axis=0, kind="stable")
             for own, row in zip(qs.id.to_numpy(), query, strict=True):
                 at, scores = threshold_topk(ids, item, row, int(own), k, lists)
                 rows["query_id"] += [own] * len(at)
                 rows["item_id"] += ids[at].tolist()
-                rows["score"] += scores.astype(np.int64).tolist()
+                rows["score"] += [min(max(int(x), -LONG), LONG - 1) for x in scores]
         return pd.DataFrame(rows)
 
     best = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(block, "query_id long, item_id long, score long")
