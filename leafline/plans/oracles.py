@@ -109,4 +109,13 @@ f AS (SELECT user_id, rn, event_id AS ord, event_type AS value, c AS confidence
 UNION ALL SELECT e.user_id, e.rn, CASE WHEN t.takes THEN e.event_id ELSE f.ord END, CASE WHEN t.takes THEN e.event_type ELSE f.value END, CASE WHEN t.takes THEN e.c ELSE f.confidence END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1,
 LATERAL (SELECT CASE WHEN abs(e.c - f.confidence) > 0.05 THEN e.c > f.confidence ELSE length(e.event_type) >= length(f.value) END AS takes) t)
 SELECT user_id, arg_max(ord, rn) AS ord, arg_max(value, rn) AS value, arg_max(confidence, rn) AS confidence FROM f GROUP BY 1""",
+    "box_assign": f"""WITH RECURSIVE {_BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM b),
+pairs AS (SELECT x.doc_id, x.i, y.k AS t, greatest(0, least(x.r, y.r) - greatest(x.l, y.l)) * greatest(0, least(x.m, y.m) - greatest(x.t, y.t)) AS o, (x.r - x.l) * (x.m - x.t) + (y.r - y.l) * (y.m - y.t) AS s, least(sqrt(pow((x.l + x.r - y.l - y.r) / 2, 2) + pow((x.t + x.m - y.t - y.m) / 2, 2)) / greatest(sqrt(pow(x.r - x.l, 2) + pow(x.m - x.t, 2)), 1.0), 1.0) AS far FROM n x JOIN n y ON x.doc_id = y.doc_id),
+scored AS (SELECT doc_id, i, t, o / (s - o) * 0.7 + (1 - far) * 0.3 AS score FROM pairs), lists AS (SELECT doc_id, i, list({{'t': t, 'score': score}} ORDER BY score DESC, t) FILTER (WHERE score > 0) AS c FROM scored GROUP BY ALL),
+taken AS (SELECT DISTINCT doc_id, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS t, NULL::DOUBLE AS score FROM n UNION ALL SELECT doc_id, i, CASE WHEN p.t IS NULL THEN used ELSE list_append(used, p.t) END, p.t, p.score FROM (SELECT k.doc_id, l.i, k.used, list_filter(l.c, lambda x: NOT list_contains(k.used, x.t))[1] AS p FROM taken k JOIN lists l ON l.doc_id = k.doc_id AND l.i = k.i + 1))
+SELECT n.doc_id, concat('d', n.k) AS source_key, coalesce(g.t::VARCHAR, '') AS target_field, round(coalesce((score + 0.9) / 2, 0)::DOUBLE, 6) AS confidence, CASE WHEN g.t IS NULL THEN 'unmapped' WHEN score >= 0.35 THEN 'mapped' ELSE 'needs_review' END AS status FROM n JOIN taken g ON g.doc_id = n.doc_id AND g.i = n.i""",
+    # what each rule makes of the query's values: labels and trailing words go, a misread domain, station, year and statutes are repaired
+    "rule_pipeline": """WITH d AS (SELECT doc_id, source, n_chars % 100 AS n, lpad((n_chars % 100)::VARCHAR, 2, '0') AS two FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, ['Phone', 'E-mail', 'Police Station', 'Year', 'Statutes'][i] AS source_key, [concat('0532 123 45', two), concat(source, '@samplemail.com'), 'Airport', CAST(CASE WHEN n < 40 THEN 2000 + n ELSE 1900 + n END AS VARCHAR), '341/325/307/506/34'][i] AS value,
+0.8::DOUBLE AS confidence, 'rule_compound' AS source_kind, CASE WHEN i > 2 THEN 'ocr_confusion_risk' ELSE '' END AS review_reasons FROM d, range(1, 6) AS t(i)""",
 }

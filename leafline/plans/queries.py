@@ -284,7 +284,7 @@ def fuzzy_assign(spark, d):
 def box_assign(spark, d):
     b = _boxes(spark, d)
     found = b.select("doc_id", "ord", F.concat(F.lit("d"), "name").alias("label"), F.lit(0.9).alias("confidence"), "box")
-    return assign.map_boxes(found, b)
+    return assign.map_boxes(found, b).withColumn("confidence", F.round("confidence", 6))
 
 
 def text_fit(spark, d):
