@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from .storage import discard, stored
 
-#: Each round halves the open nodes on average, so no graph that fits a cluster comes near this many.
+#: Each round halves the open nodes, so no graph that fits a cluster comes near this many.
 MOST_ROUNDS = 500
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of ``links`` (a long, b long).
 
-    In each round every open node hooks to the neighbour that a hash of the round ranks first, if that one
+    In each round every open node hooks to its neighbour with most links (ties by a hash of the round), if that one
     ranks before itself; hooks are followed to their roots by pointer jumping, and the links are
-    contracted to links between roots. As the ranks are drawn anew, half the nodes hook on
-    average whatever the graph, a path included, so rounds grow with the logarithm of the nodes. It
-    ends when no link is left, and raises an error rather than return unsettled labels.
+    contracted to links between roots. A node that stays has as many links as each of its neighbours at least, so no
+    more nodes stay than hook: every round at least halves the open nodes, whatever the graph, a star goes in one, and the hash
+    keeps the hooks of a path short. It ends when no link is left, and raises an error rather than return unsettled labels.
 
-    The first neighbour is found before the shuffle, so a node with many links costs one row a task. Each round is a
-    written table. Links with a null end, links of a node with itself and repeated links change nothing;
+    Links are joined with their ends by node, where Spark splits the rows of a node with very many links (adaptive skew joins);
+    what is counted of a node is summed before the shuffle. Each round is a written table. Links with a null end, links of a node with itself and repeated links change nothing;
     an empty table gives an empty table. Other columns are ignored.
     """
     edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-links")
@@ -29,10 +29,11 @@ def components(links: DataFrame) -> DataFrame:
     while edges.limit(1).count():
         if len(hooked) == MOST_ROUNDS:
             raise RuntimeError(f"components unsettled after {MOST_ROUNDS} rounds")
-        rank = lambda c: F.struct(F.xxhash64(F.lit(len(hooked)), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
+        rank = lambda c, links: F.struct((-F.col(links)).alias("links"), F.xxhash64(F.lit(len(hooked)), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = both.groupBy(F.col("a").alias("node")).agg(F.min(rank("b")).alias("best"))
-        roots = _roots(stored(first.select("node", F.least("best", rank("node"))["to"].alias("up")), "cc-hooks"))
+        degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n_b"))
+        first = both.join(degree, "b").groupBy(F.col("a").alias("node")).agg(F.min(rank("b", "n_b")).alias("best"), F.count("*").alias("n"))
+        roots = _roots(stored(first.select("node", F.least("best", rank("node", "n"))["to"].alias("up")), "cc-hooks"))
         up = lambda c: roots.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: B023, E731
         left = edges.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up")
         left = stored(left.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "cc-links")
