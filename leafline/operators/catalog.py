@@ -109,12 +109,13 @@ def case_checks(checks: DataFrame, values: DataFrame, families: DataFrame) -> Da
 
 
 def case_report(results: DataFrame, cases: DataFrame) -> DataFrame:
-    """field_match_rate, case_success_rate, confidence, pass_rate and review_rate in one row; cases: case_id, confidence, passed, review_required. Without rows every rate is 0."""
+    """field_match_rate, case_success_rate, confidence, pass_rate and review_rate in one row; cases: case_id, confidence, passed, review_required, and layout_fidelity and render_readability where they were measured, whose means are added. Without rows every rate is 0."""
     per = results.groupBy("case_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("hits"))
     all_ = cases.join(per, "case_id", "left")
+    scores = [F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("layout_fidelity", "render_readability") if c in cases.columns]
     rate = lambda top, under: F.coalesce(F.sum(top) / F.nullif(F.sum(under), F.lit(0)), F.lit(0.0))
     success = (F.coalesce("hits", F.lit(0)) == F.coalesce("n", F.lit(0))).cast("int")
     return all_.agg(
         rate("hits", "n").alias("field_match_rate"), rate(success, F.lit(1)).alias("case_success_rate"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("confidence"),
-        rate(F.col("passed").cast("int"), F.lit(1)).alias("pass_rate"), rate(F.col("review_required").cast("int"), F.lit(1)).alias("review_rate"),
+        rate(F.col("passed").cast("int"), F.lit(1)).alias("pass_rate"), rate(F.col("review_required").cast("int"), F.lit(1)).alias("review_rate"), *scores,
     )

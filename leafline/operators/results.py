@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import confidence, text
-from . import review
+from . import repair, review
 
 #: The least confidence of a mapping, that of a transcript without any, and the warnings that feedback quotes.
 LEAST_MAPPING, PLAIN_TRANSCRIPT, QUOTED = 0.60, 0.7, 5
@@ -35,6 +35,12 @@ def resolved_or_read(resolved: DataFrame, read: DataFrame) -> DataFrame:
     return resolved.unionByName(read.join(resolved.select("doc_id").distinct(), "doc_id", "left_anti"))
 
 
+def normalized_values(values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``values`` after the rules of repair, and doc_id, confidence: the mean over a document's values then. values: as ``repair`` takes them."""
+    fixed = repair.repair(values)
+    return fixed, fixed.groupBy("doc_id").agg(confidence.mean(F.col("confidence")).alias("confidence"))
+
+
 def extraction_results(values: DataFrame, mappings: DataFrame, least: float = LEAST_MAPPING) -> DataFrame:
     """doc_id, n_values, n_mappings, weak_mappings, issue, review_items, confidence: a row a document.
 

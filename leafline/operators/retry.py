@@ -73,10 +73,14 @@ def overcaptured_choice(value: Column) -> Column:
     return ((n >= 4) & marked) | ((n >= 6) & ~plain.contains(",") & ~plain.contains("."))
 
 
+#: Words and numbers of a form that stand around a station's name.
+STATION_FORM = (r"(?i)\b(?:p\.?\s*s\.?|police station)\b", r"(?i)\b(?:cr\.?\s*p\.?\s*c\.?|ipc|fir|year|form|no\.?)\b", r"\b[0-9]+\b")
+
+
 def clean_station(value: Column) -> Column:
     """A station's name without the words and numbers of the form around it."""
     out = text.squeeze(value)
-    for pattern in (r"(?i)\b(?:p\.?\s*s\.?|police station)\b", r"(?i)\b(?:cr\.?\s*p\.?\s*c\.?|ipc|fir|year|form|no\.?)\b", r"\b[0-9]+\b"):
+    for pattern in STATION_FORM:
         out = F.regexp_replace(out, pattern, "")
     return F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^[ ,.\-/]+|[ ,.\-/]+$", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
-from ..operators import identity, retry, sampling, verify
+from ..operators import identity, retry, review, sampling, verify
 from ..sources import manifests
 
 
@@ -100,7 +100,20 @@ def release_buckets(spark, d):
     return lines.select(bucket.alias("b")).groupBy("b.density", "b.lines", "b.pages", "b.aspect").count().withColumnRenamed("count", "n")
 
 
-QUERIES = {f.__name__: f for f in (value_forms, box_forms, classified_counts, contact_transcripts, payload_fields, linked_forms, manifest_rows, release_buckets)}
+def planned_regions(spark, d):
+    """Which fields of orders are read again, from their boxes, the values under labels and names, and the density of pages."""
+    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("q"))
+    page = (F.col("n") % 2 + 1).cast("int")
+    name = F.concat(F.lit("f"), F.col("n").cast("string"), F.when(F.col("q") % 5 == 0, "__body").otherwise(""))
+    box = F.when(F.col("q") % 11 != 0, F.struct(page.alias("page_number"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(1.0).alias("right"), F.lit(1.0).alias("bottom")))
+    fields = rows.select("doc_id", name.alias("name"), F.when(F.col("q") % 3 == 0, F.concat(F.lit("l"), F.col("n").cast("string"))).otherwise("").alias("label"), F.when(F.col("flag") == "R", "date").otherwise("text").alias("kind"), box.alias("box"))
+    key = F.when(F.col("q") % 3 == 0, F.concat(F.lit("l"), F.col("n").cast("string"))).otherwise(name)
+    values = rows.where("q % 7 <> 0").select("doc_id", key.alias("source_key"), F.when(F.col("q") % 4 == 0, " ").otherwise(F.col("flag")).alias("value"), (F.col("q") / 50).alias("confidence"))
+    pages = rows.select("doc_id", page.alias("page_number")).distinct().withColumn("density", (F.col("doc_id") % 10 + F.col("page_number")) / 10)
+    return review.region_plan(review.region_targets(fields, values, pages, ["f1"]), [], 3)
+
+
+QUERIES = {f.__name__: f for f in (value_forms, box_forms, classified_counts, contact_transcripts, payload_fields, linked_forms, manifest_rows, release_buckets, planned_regions)}
 
 SQL = {
     "box_forms": """WITH p AS (SELECT p_partkey AS k, p_brand, (p_partkey * 37 % 500 - 50)::DOUBLE AS a, (p_partkey * 91 % 700 - 50)::DOUBLE AS b, (p_partkey * 53 % 500 - 50)::DOUBLE AS c, (p_partkey * 17 % 700 - 50)::DOUBLE AS e FROM part),
@@ -123,4 +136,9 @@ SELECT CASE WHEN n * 2 <= 4 THEN 'sparse' WHEN n * 2 <= 8 THEN 'medium' ELSE 'de
     "value_forms": r"""WITH p AS (SELECT p_partkey AS k, p_name AS n, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
 SELECT k, CASE k % 4 WHEN 0 THEN CASE WHEN length(a) >= 4 THEN concat('dr', n) ELSE concat('dr ', n) END WHEN 1 THEN CASE WHEN length(a) >= 4 THEN concat('r', n) ELSE concat('r ', n) END WHEN 2 THEN n ELSE CASE WHEN length(a) >= 4 THEN concat('j', n) ELSE concat('j ', n) END END AS person,
 concat(['Dr ', 'r ', '', 'J '][k % 4 + 1], n) AS bare, ['2019', '1998', '', ''][k % 4 + 1] AS year, CASE k % 4 WHEN 2 THEN concat(n, ' 2019x') WHEN 3 THEN concat(n, ', 19') ELSE n END AS rest, CASE WHEN k % 3 = 1 THEN ['x', 'other', '[X]', '✓'][k % 4 + 1] WHEN k % 4 = 1 THEN concat(['cash', '[x]', 'card'][k % 3 + 1], ' other ', n) ELSE ['cash', '[x]', 'card'][k % 3 + 1] END AS choice, n AS station, ['phone', 'fax', 'telephone', 'mobile', 'email', 'email', 'post'][k % 7 + 1] AS label FROM p""",
+    "planned_regions": """WITH r AS (SELECT l_orderkey AS d, l_linenumber AS n, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+t AS (SELECT d, n % 2 + 1 AS p, CASE WHEN q % 3 = 0 THEN concat('l', n) ELSE concat('f', n) END AS k, n = 1 AS crit, f = 'R' AS date, q % 7 <> 0 AS has, q % 4 = 0 AS blank, q / 50 AS c, (d % 10 + n % 2 + 1) / 10 >= 0.55 AS dense FROM r WHERE q % 11 <> 0),
+s AS (SELECT *, NOT has OR blank AS none FROM t), g AS (SELECT d, k, p, CASE WHEN none THEN 'missing_value' WHEN c < 0.62 THEN 'low_confidence' WHEN date OR crit THEN 'critical_field' WHEN dense THEN 'dense_layout' END AS reason, CASE WHEN crit THEN 3 WHEN none THEN 3 WHEN c < 0.62 THEN 2 WHEN date THEN 1 ELSE 0 END + dense::INT AS w FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY w DESC, p, k) AS rank FROM g WHERE reason IS NOT NULL)
+SELECT d AS doc_id, k AS field_key, CAST(p AS INTEGER) AS page_number, reason, CAST(w AS INTEGER) AS priority, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""",
 }
