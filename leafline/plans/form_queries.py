@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, text
 from ..operators import identity, retry, review, sampling, verify
 from ..sources import manifests
+from ..streaming import jobs
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -113,7 +114,15 @@ def planned_regions(spark, d):
     return review.region_plan(review.region_targets(fields, values, pages, ["f1"]), [], 3)
 
 
-QUERIES = {f.__name__: f for f in (value_forms, box_forms, classified_counts, contact_transcripts, payload_fields, linked_forms, manifest_rows, release_buckets, planned_regions)}
+def stuck_jobs(spark, d):
+    """The last state of every user's events as a job, failed if nothing came for a day before the last event of all."""
+    k = F.col("event_id") % 31
+    event = F.when(k == 0, "failed").when(k == 1, "succeeded").when(k < 6, "running").otherwise("step")
+    rows = _t(spark, d, "events").where("user_id is not null").select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), event.alias("event"), F.col("event_type").alias("step"), "ts")
+    return jobs.latest_patiently(rows, 86_400)
+
+
+QUERIES = {f.__name__: f for f in (value_forms, box_forms, classified_counts, contact_transcripts, payload_fields, linked_forms, manifest_rows, release_buckets, planned_regions, stuck_jobs)}
 
 SQL = {
     "box_forms": """WITH p AS (SELECT p_partkey AS k, p_brand, (p_partkey * 37 % 500 - 50)::DOUBLE AS a, (p_partkey * 91 % 700 - 50)::DOUBLE AS b, (p_partkey * 53 % 500 - 50)::DOUBLE AS c, (p_partkey * 17 % 700 - 50)::DOUBLE AS e FROM part),
@@ -141,4 +150,8 @@ t AS (SELECT d, n % 2 + 1 AS p, CASE WHEN q % 3 = 0 THEN concat('l', n) ELSE con
 s AS (SELECT *, NOT has OR blank AS none FROM t), g AS (SELECT d, k, p, CASE WHEN none THEN 'missing_value' WHEN c < 0.62 THEN 'low_confidence' WHEN date OR crit THEN 'critical_field' WHEN dense THEN 'dense_layout' END AS reason, CASE WHEN crit THEN 3 WHEN none THEN 3 WHEN c < 0.62 THEN 2 WHEN date THEN 1 ELSE 0 END + dense::INT AS w FROM s),
 k AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY w DESC, p, k) AS rank FROM g WHERE reason IS NOT NULL)
 SELECT d AS doc_id, k AS field_key, CAST(p AS INTEGER) AS page_number, reason, CAST(w AS INTEGER) AS priority, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3""",
+    "stuck_jobs": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id AS seq, event_type AS step, ts, CASE WHEN event_id % 31 = 0 THEN 'failed' WHEN event_id % 31 = 1 THEN 'succeeded' WHEN event_id % 31 < 6 THEN 'running' ELSE 'step' END AS event FROM events WHERE user_id IS NOT NULL),
+w AS (SELECT *, min(seq) FILTER (event IN ('failed', 'succeeded')) OVER (PARTITION BY job_id) AS fin, max(ts) OVER (PARTITION BY job_id) AS seen, max(ts) OVER () AS now FROM e),
+s AS (SELECT job_id, CASE arg_max(event, seq) WHEN 'step' THEN 'running' ELSE arg_max(event, seq) END AS status, max(seq) AS last_seq, CAST(count(DISTINCT step) FILTER (event = 'step') AS INTEGER) AS steps, max(seen) AS seen, max(now) AS now FROM w WHERE fin IS NULL OR seq <= fin GROUP BY 1)
+SELECT job_id, CASE WHEN status IN ('running', 'queued') AND seen + INTERVAL 1 DAY <= now THEN 'failed' ELSE status END AS status, last_seq, steps FROM s""",
 }

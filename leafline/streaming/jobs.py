@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,6 +47,59 @@ def track(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").transformWithStateInPandas(JobTracker(), OUT, "Update", "None")
 
 
+class PatientTracker(JobTracker):
+    """A tracker that fails a job once the watermark is past its last event by ``patience`` and it hasn't ended. A later event doesn't revive it."""
+
+    def __init__(self, patience_ms: int):
+        self.patience_ms = patience_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        for out in super().handleInputRows(key, iter([batch]), timerValues):
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if out.status[0] not in TERMINAL:
+                self.handle.registerTimer(int(batch.ms.max()) + self.patience_ms)
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, last = self.job.get()
+        if status not in TERMINAL:
+            self.job.update(("failed", last))
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "last_seq": [int(last)], "steps": [sum(1 for _ in self.steps.keys())]})
+
+
+def track_patiently(events: DataFrame, patience_seconds: int, late: str = "0 seconds") -> DataFrame:
+    """``track`` over events with ts (timestamp), where a job without an event for ``patience_seconds`` of event time fails, by a timer of its key."""
+    timed = events.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return timed.groupBy("job_id").transformWithStateInPandas(PatientTracker(1000 * patience_seconds), OUT, "Update", "EventTime")
+
+
+def latest_patiently(events: DataFrame, patience_seconds: int) -> DataFrame:
+    """The same over a finished table whose latest event is as far as time has come: jobs that were left waiting are failed."""
+    now = events.agg(F.max("ts").alias("now"))
+    seen = events.groupBy("job_id").agg(F.max("ts").alias("ts"))
+    out = latest(events).join(seen, "job_id").join(F.broadcast(now))
+    stuck = ~F.col("status").isin(*TERMINAL) & (F.col("ts") + F.make_interval(secs=F.lit(patience_seconds)) <= F.col("now"))
+    return out.select("job_id", F.when(stuck, "failed").otherwise(F.col("status")).alias("status"), "last_seq", "steps")
+
+
+def running_jobs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """job_id, status, last_seq as of the last finished batch of the stream with this checkpoint, read from its state store, whether the stream runs or not."""
+    state = spark.read.format("statestore").option("stateVarName", "job").load(checkpoint)
+    return state.select("key.job_id", "value.status", "value.last_seq")
+
+
+def job_steps(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """job_id, step, first_seq: the steps that each job has had, from the same state."""
+    state = spark.read.format("statestore").option("stateVarName", "steps").load(checkpoint)
+    return state.select("key.job_id", F.col("user_map_key.name").alias("step"), F.col("user_map_value.first_seq").alias("first_seq"))
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The same over a finished table: the state after the first terminal event, or after the last event."""
     known = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
