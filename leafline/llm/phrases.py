@@ -19,6 +19,8 @@ LONGEST = 3
 COVER_PERCENT = 50
 TOP = 2000
 SCALE = 1_000_000
+#: Parts of a language's phrases that are ranked before all of it is.
+RANKED_APART = 32
 
 
 class Sizes(NamedTuple):
@@ -236,8 +238,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_C
     cuts = cuts.withColumn("score", F.expr("top div below"))
     scored = cuts.groupBy("lang", "phrase").agg(F.first("k").alias("k"), F.first("a").alias("a"), F.min(F.struct("score", "cut", "l", "r")).alias("m"))
     kept = _uncovered(scored.select("lang", "phrase", "k", "a", "m.l", "m.r", "m.score"), longest, cover_percent)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    # the best of each of RANKED_APART parts first, so that the task of a language gets a bounded number of rows
+    parts_ = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(RANKED_APART)))
+    best = parts_.withColumn("rank", rank("lang", "part")).where(F.col("rank") <= top).withColumn("rank", rank("lang")).where(F.col("rank") <= top)
     words_of = grams.where("k = 0").select("lang", F.col("f").alias("n"))
     out = stored(best.join(words_of, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
     discard(grams)
