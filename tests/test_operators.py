@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from leafline.functions import similarity
 from leafline.operators import assign, dedup, families, repair, review, sampling, scoring, segments
 from leafline.plans import queries
 from leafline.sources import manifests
@@ -81,6 +83,29 @@ def test_mapping(spark):
     assert got == {"Student Number": ("ogrenci_no", "mapped"), "Email Address": ("e_posta", "mapped")}
 
 
+def test_mapping_of_many_names(spark, monkeypatch):
+    """A row a value, also where keys repeat, as a plain loop over all pairs takes them; few pairs are compared in full."""
+    words = ["pale", "steel", "linen", "almond", "blue", "misty"]
+    names = [f"{words[i % 6]} {words[i * 5 % 4]}" for i in range(12)]
+    values = [("d", i, f"the {names[i]}" if i != 5 else "!", 0.5) for i in range(12)]
+    targets = [("d", -i, f"{names[i].replace(' ', '_')}_{i}", "" if i % 3 else f"Label {names[i]}") for i in range(12)]
+    v = spark.createDataFrame([*values, ("e", 0, "alone", 0.5)], "doc_id string, ord int, source_key string, confidence double")
+    t = spark.createDataFrame(targets, "doc_id string, ord int, name string, label string")
+    got = sorted((r.source_key, r.target_field, round(r.confidence, 9)) for r in assign.map_values(v, t).collect())
+    plain = lambda x: " ".join(re.sub("[^a-z0-9]+", " ", re.sub("([0-9]+)", r" \1 ", x.lower())).split())
+    free, want = sorted(targets, key=lambda x: x[1]), [("alone", "", 0.0)]
+    for _, _, key, trust in values:
+        score, target = max(((max(similarity.ratio(plain(key), plain(x)) for x in (t[3] or t[2], t[2])), t) for t in free), key=lambda x: x[0])
+        want.append((key, target[2] if score else "", round((score + trust) / 2, 9) if score else 0.0))
+        free = [t for t in free if not score or t != target]
+    assert got == sorted(want)
+    seen = []
+    monkeypatch.setattr(similarity, "ratio", lambda a, b, ratio=similarity.ratio: seen.append((a, b)) or ratio(a, b))
+    value = {"ord": 0, "source": "x", "plain": "the pale linen", "own": "the pale linen"}
+    assert assign._best_name([value], [{"target": x, "label": x, "name": x, "own_label": x, "own_name": x} for x in ("blue", "pale linen 3", "misty steel", "zz")])(0, set())[1] == 1
+    assert seen == [("the pale linen", "pale linen 3")]
+
+
 def test_segments(spark):
     values = spark.createDataFrame([("d", "a__body_2", "three"), ("d", "a", "one"), ("d", "a__body", "two"), ("d", "b", "")], "doc_id string, name string, value string")
     assert [tuple(r) for r in segments.coalesce_segments(values).collect()] == [("d", "a", "one\ntwo\nthree")]
