@@ -58,6 +58,8 @@ FIXED = [
     ("danisman_tarih_imza", "text", 94.0, 530.0, 340.0, 549.0),
 ]
 
+#: Stands between the words of a page; in a word it counts as another control character.
+_GAP = "\x00"
 _PAGE = ["doc_id", "page_number"]
 _EDGES = ["left", "top", "right", "bottom"]
 
@@ -80,13 +82,15 @@ def spec_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "variant string, rank int, part string, spec string, label string, terms array<string>, kind string, strategy string, min_width double, height double, confidence double")
 
 
-def _matches(window: Column, term: Column) -> Column:
-    """Whether words spell a term, which may begin within the first and end within the last."""
-    n = F.size(term)
-    said = F.transform(window, lambda w: F.lower(w["word"]))
-    inner = (n <= 2) | (F.slice(said, 2, F.greatest(n - 2, F.lit(0))) == F.slice(term, 2, F.greatest(n - 2, F.lit(0))))
-    several = F.endswith(F.get(said, F.lit(0)), F.get(term, F.lit(0))) & inner & F.startswith(F.element_at(said, -1), F.element_at(term, -1))
-    return F.when(n == 1, F.contains(F.get(said, F.lit(0)), F.get(term, F.lit(0)))).otherwise(several)
+def _term_lists(specs: DataFrame) -> DataFrame:
+    """variant, asked: its specifications with their terms as they read in a page's words, a fixed number of rows.
+
+    Words that spell a term may hold more before its first and after its last word, so it is a part of the words with ``_GAP`` between.
+    """
+    upper = (F.col("variant") == SINGLE) & (F.col("label") == "tarih")
+    words = lambda t: F.split(F.lower(t), " ")
+    terms = F.transform("terms", lambda t: F.struct(F.array_join(words(t), _GAP).alias("said"), F.size(words(t)).alias("n"), upper.alias("upper")))
+    return specs.groupBy("variant").agg(F.collect_list(F.struct("spec", terms.alias("terms"))).alias("asked"))
 
 
 def printed_anchors(words: DataFrame, pages: DataFrame, specs: DataFrame) -> DataFrame:
@@ -94,26 +98,41 @@ def printed_anchors(words: DataFrame, pages: DataFrame, specs: DataFrame) -> Dat
 
     The date of the single-course variant has to stand in the upper part; there all places count. Case doesn't matter; a place is as large as its words.
     """
-    page = words.where("word is not null").groupBy(*_PAGE).agg(F.array_sort(F.collect_list(F.struct("ord", "word", *_EDGES))).alias("ws"))
-    asked = page.join(pages.select(*_PAGE, "variant"), _PAGE).join(F.broadcast(specs.select("variant", "spec", "label", F.explode("terms").alias("term"))), "variant")
-    asked = asked.withColumn("term", F.split(F.lower("term"), " ")).withColumn("n", F.size("term")).where(F.size("ws") >= F.col("n"))
-    upper = (F.col("variant") == SINGLE) & (F.col("label") == "tarih")
-    windows = F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("n") + 1), lambda i: F.slice("ws", i, F.col("n")))
-    hits = F.filter(windows, lambda w: _matches(w, F.col("term")) & (~upper | (F.get(w, F.lit(0))["top"] <= DATE_ABOVE)))
-    box = lambda w: F.struct(F.array_min(F.transform(w, lambda x: x["top"])).alias("top"), F.array_min(F.transform(w, lambda x: x["left"])).alias("left"), F.array_max(F.transform(w, lambda x: x["right"])).alias("right"), F.array_max(F.transform(w, lambda x: x["bottom"])).alias("bottom"))
-    first = F.when(upper, F.array_min(F.transform(hits, box))).otherwise(F.get(F.transform(hits, box), F.lit(0)))
-    found = asked.select(*_PAGE, "spec", first.alias("b")).where("b is not null").groupBy(*_PAGE, "spec").agg(F.min("b").alias("b"))
+    lower = F.struct("ord", F.translate(F.lower("word"), _GAP, "\x01").alias("word"), *_EDGES)
+    page = words.where("word is not null").groupBy(*_PAGE).agg(F.array_sort(F.collect_list(lower)).alias("ws")).withColumn("said", F.array_join(F.transform("ws", lambda w: w["word"]), _GAP))
+    asked = page.join(pages.select(*_PAGE, "variant"), _PAGE).join(F.broadcast(_term_lists(specs)), "variant")
+    top, left = lambda ws: F.array_min(F.transform(ws, lambda x: x["top"])), lambda ws: F.array_min(F.transform(ws, lambda x: x["left"]))
+    right, bottom = lambda ws: F.array_max(F.transform(ws, lambda x: x["right"])), lambda ws: F.array_max(F.transform(ws, lambda x: x["bottom"]))
+    box = lambda w: F.struct(top(w).alias("top"), left(w).alias("left"), right(w).alias("right"), bottom(w).alias("bottom"))
+
+    def first(t: Column) -> Column:
+        """The box of the first place: the text before it tells how many words are."""
+        before = F.left("said", F.instr("said", t["said"]) - 1)
+        return box(F.slice("ws", F.length(before) - F.length(F.replace(before, F.lit(_GAP), F.lit(""))) + 1, t["n"]))
+
+    def topmost(t: Column) -> Column:
+        """The least box of all places in the upper part."""
+        windows = F.transform(F.sequence(F.lit(1), F.size("ws") - t["n"] + 1), lambda i: F.slice("ws", i, t["n"]))
+        hit = lambda w: (F.get(w, F.lit(0))["top"] <= DATE_ABOVE) & (F.instr(F.array_join(F.transform(w, lambda x: x["word"]), _GAP), t["said"]) > 0)
+        return F.array_min(F.transform(F.filter(windows, hit), box))
+
+    place = lambda t: F.when(F.instr("said", t["said"]) > 0, F.when(t["upper"], topmost(t)).otherwise(first(t)))
+    boxes = F.transform("asked", lambda s: F.struct(s["spec"].alias("spec"), F.array_min(F.transform(s["terms"], place)).alias("b")))
+    found = asked.select(*_PAGE, F.inline(F.filter(boxes, lambda x: x["b"].isNotNull())))
     return found.select(*_PAGE, "spec", *[f"b.{c}" for c in _EDGES])
 
 
 def find_anchors(words: DataFrame, pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """``printed_anchors``, and for specifications without one the phrase on the page that is most like a term, if it is like enough."""
-    printed = printed_anchors(words, pages, specs)
+    """``printed_anchors``, and for specifications without one the phrase on the page that is most like a term, if it is like enough. Both are written tables."""
+    printed = written(printed_anchors(words, pages, specs), "petition-printed")
     missing = pages.select(*_PAGE, "variant").join(F.broadcast(specs.select("variant", "spec", "label")), "variant").join(printed, [*_PAGE, "spec"], "left_anti")
+    missing = written(missing, "petition-missing")
+    if missing.isEmpty():
+        return printed
     terms = [(f"{v}/{k}/{name}", term) for v, k, name, all_, *_ in SPECS for term in all_]
     like = anchors.anchor_phrases(words.join(missing.select(*_PAGE).distinct(), _PAGE, "left_semi"), terms).join(missing, [*_PAGE, "spec"])
     like = like.where((F.col("label") != "tarih") | (F.col("variant") != SINGLE) | (F.col("top") <= DATE_ABOVE))
-    return printed.unionByName(like.select(*_PAGE, "spec", *_EDGES))
+    return printed.unionByName(written(like.select(*_PAGE, "spec", *_EDGES), "petition-like"))
 
 
 def detect_petition_fields(words: DataFrame, drawings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -122,11 +141,11 @@ def detect_petition_fields(words: DataFrame, drawings: DataFrame, pages: DataFra
     words: doc_id, page_number, ord, word and edges; drawings: doc_id, page_number, ord and corners x0, y0, x1, y1; pages: doc_id, page_number, width, height.
     The variant picks the specifications; each looks for its anchor and takes the underline near it or a box beside it, a cell below it, the block up to the
     next heading, or a fixed place that nothing else has filled. Of fields with one label, kind and rounded box the first of the document stays.
-    The anchors are a written table, as most steps read them. A page without words is of the generic variant and has no fields; an empty table has none.
+    The pages' variants and the anchors are written tables, as most steps read them. A page without words is of the generic variant and has no fields; an empty table has none.
     """
     specs = spec_table(words.sparkSession)
-    known = page_variants(words, pages)
-    found = written(find_anchors(words, known, specs), "petition-anchors").join(F.broadcast(specs.drop("terms", "variant")), "spec")
+    known = written(page_variants(words, pages), "petition-pages")
+    found = find_anchors(words, known, specs).join(F.broadcast(specs.drop("terms", "variant")), "spec")
     under = drawings.where((F.abs(F.col("x1") - F.col("x0")) >= 70) & (F.abs(F.col("y1") - F.col("y0")) <= 3.5))
     place = Window.partitionBy(*_PAGE).orderBy("top", "left", "ord")
     rules = under.select(*_PAGE, "ord", F.col("x0").alias("left"), F.greatest(F.lit(0.0), F.col("y0") - 18).alias("top"), F.col("x1").alias("right"), (F.col("y0") + 6).alias("bottom")).withColumn("rule_id", F.row_number().over(place)).drop("ord")

@@ -67,3 +67,17 @@ def test_petition_pages(spark):
     phone, mail = got["b", 1, "telefon"], got["b", 1, "e_posta"]
     assert (phone.left, phone.top, phone.right) == (210.0, 398.0, 210 + 300 * 0.46 - 4) and (mail.right, mail.confidence) == (510.0, 0.88)
     assert got["b", 1, "ders_notu"].right == 496.0 and petition.detect_petition_fields(words.limit(0), drawn, sizes).count() == 0
+
+
+def test_printed_terms_are_parts_of_the_page_text(spark):
+    """Terms begin within a word and end within one, the first place counts; a control character in a word parts nothing. The anchors come from one written table."""
+    words = spark.createDataFrame(
+        [("a", 1, i, w, 10.0 * i, 300.0 - 5 * i, 10.0 * i + 8, 310.0 - 5 * i) for i, w in enumerate(["x", "(AD", "Soyad:", "GA\x00NO", "xGANOx", "ad", "soyad", None, "Ders", "Kod", "Dersin", "Adı"])],
+        "doc_id string, page_number int, ord int, word string, left double, top double, right double, bottom double",
+    )
+    pages = spark.createDataFrame([("a", 1, petition.GENERIC)], "doc_id string, page_number int, variant string")
+    specs = petition.spec_table(spark)
+    got = {r.spec.split("/")[-1]: (r.left, r.top, r.right, r.bottom) for r in petition.printed_anchors(words, pages, specs).collect()}
+    assert got == {"ad_soyad": (10.0, 290.0, 28.0, 305.0), "gano": (40.0, 280.0, 48.0, 290.0), "ders_adi": (100.0, 245.0, 118.0, 260.0)}
+    plan = petition.find_anchors(words, pages, specs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
