@@ -97,6 +97,45 @@ def _names_taken(values: pd.Series, targets: pd.Series) -> pd.Series:
     return _each(values, targets, _best_name)
 
 
+_SIDES = ("left", "top", "right", "bottom")
+
+
+def _best_box(values: list, targets: list):
+    """``best`` of ``_taken`` by overlap and distance, as ``geometry`` has them: a box against all targets at once."""
+    pages = np.array([np.nan if t["page_number"] is None else t["page_number"] for t in targets], dtype=float)
+    left, top, right, bottom = (np.array([t[c] for t in targets], dtype=float) for c in _SIDES)
+    areas, names = np.maximum(right - left, 0) * np.maximum(bottom - top, 0), [t["target"] for t in targets]
+
+    def best(i: int, taken: set) -> tuple[float, int] | None:
+        a = values[i]
+        if any(a[c] is None for c in ("page_number", *_SIDES)):
+            return None
+        w, h = max(a["right"] - a["left"], 0.0), max(a["bottom"] - a["top"], 0.0)
+        x, y = np.minimum(a["right"], right) - np.maximum(a["left"], left), np.minimum(a["bottom"], bottom) - np.maximum(a["top"], top)
+        common = np.where((pages == a["page_number"]) & (x > 0) & (y > 0), x * y, 0.0)
+        union = w * h + areas - common
+        iou = np.where(union == 0, 0.0, common / np.where(union == 0, 1.0, union))
+        apart = np.hypot((a["left"] + a["right"] - left - right) / 2, (a["top"] + a["bottom"] - top - bottom) / 2) / max(np.hypot(w, h), 1.0)
+        score = iou * 0.7 + (1 - np.where(pages == a["page_number"], np.minimum(apart, 1.0), 1.0)) * 0.3
+        score = np.nan_to_num(np.where([n in taken for n in names], 0.0, score))
+        j = int(score.argmax())
+        return (float(score[j]), j) if score[j] > 0 else None
+
+    return best
+
+
+@F.pandas_udf(_FOUND)
+def _boxes_taken(values: pd.Series, targets: pd.Series) -> pd.Series:
+    return _each(values, targets, _best_box)
+
+
+def _listed(values: DataFrame, targets: DataFrame, v: str, t: str, taken) -> DataFrame:
+    """doc_id, source, confidence, target, score of each value: what ``taken`` gives for the lists of a document."""
+    one = lambda df, c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(c)).alias(c))
+    found = one(values, v).join(one(targets, t), "doc_id", "left").withColumn("found", taken(v, t))
+    return found.select("doc_id", F.inline(F.arrays_zip(F.col(v).alias("v"), "found"))).select("doc_id", "v.source", "v.confidence", "found.target", "found.score")
+
+
 def map_values(values: DataFrame, targets: DataFrame, aliases: Column | None = None, least: float = 0.6) -> DataFrame:
     """Values (doc_id, ord, source_key, confidence) mapped to targets (doc_id, ord, name, label) by the similarity of names.
 
@@ -115,21 +154,17 @@ def map_values(values: DataFrame, targets: DataFrame, aliases: Column | None = N
     label = F.coalesce(F.nullif("label", F.lit("")), "name")
     v = values.select("doc_id", F.struct("ord", F.col("source_key").alias("source"), "confidence", said(F.col("source_key")).alias("plain"), said(canon(F.col("source_key"))).alias("own")).alias("v"))
     t = targets.select("doc_id", F.struct("ord", F.col("name").alias("target"), said(label).alias("label"), said(F.col("name")).alias("name"), said(canon(label)).alias("own_label"), said(canon(F.col("name"))).alias("own_name")).alias("t"))
-    listed = lambda df, c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(c)).alias(f"{c}s"))
-    found = listed(v, "v").join(listed(t, "t"), "doc_id", "left").withColumn("found", _names_taken("vs", "ts"))
-    out = found.select("doc_id", F.inline(F.arrays_zip("vs", "found"))).select("doc_id", "vs.source", "vs.confidence", "found.target", "found.score")
+    out = _listed(v, t, "v", "t", _names_taken)
     mean = (F.least("score", F.lit(1.0)) + F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))) / 2
     return out.select("doc_id", F.col("source").alias("source_key"), F.coalesce("target", F.lit("")).alias("target_field"), F.when(F.col("target").isNull(), 0.0).otherwise(F.coalesce(mean, F.lit(0.0))).alias("confidence"), F.when(F.col("target").isNull(), "unmapped").when(mean >= least, "mapped").otherwise("needs_review").alias("status"))
 
 
 def map_boxes(detected: DataFrame, fields: DataFrame) -> DataFrame:
     """Detected fields (doc_id, ord, label, confidence, box) mapped to named ones (doc_id, ord, name, box) by overlap and distance."""
-    d = detected.select("doc_id", F.col("ord").alias("source_ord"), F.col("label").alias("source"), "confidence", F.col("box").alias("a"))
-    t = fields.where("box is not null").select("doc_id", F.col("ord").alias("target_ord"), F.col("name").alias("target"), F.col("box").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    scored = d.join(t, "doc_id").withColumn("score", geometry.iou(a, b) * 0.7 + (1 - geometry.center_distance(a, b)) * 0.3)
-    best = greedy(scored.drop("a", "b", "confidence"))
-    out = d.join(best, ["doc_id", "source"], "left")
+    edges = lambda: [F.col(f"box.{c}").cast(k).alias(c) for c, k in (("page_number", "long"), ("left", "double"), ("top", "double"), ("right", "double"), ("bottom", "double"))]
+    d = detected.select("doc_id", F.struct("ord", F.col("label").alias("source"), "confidence", *edges()).alias("d"))
+    t = fields.where("box is not null").select("doc_id", F.struct("ord", F.col("name").alias("target"), *edges()).alias("t"))
+    out = _listed(d, t, "d", "t", _boxes_taken)
     return out.select("doc_id", F.col("source").alias("source_key"), F.coalesce("target", F.lit("")).alias("target_field"), F.coalesce((F.col("score") + F.col("confidence")) / 2, F.lit(0.0)).alias("confidence"), F.when(F.col("target").isNull(), "unmapped").when(F.col("score") >= 0.35, "mapped").otherwise("needs_review").alias("status"))
 
 

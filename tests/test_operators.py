@@ -106,6 +106,15 @@ def test_mapping_of_many_names(spark, monkeypatch):
     assert seen == [("the pale linen", "pale linen 3")]
 
 
+def test_boxes_of_one_label_take_a_row_each(spark):
+    box = "struct<page_number:int,left:double,top:double,right:double,bottom:double>"
+    found = [("d", 0, "x", 0.9, (1, 0.0, 0.0, 10.0, 10.0)), ("d", 1, "x", 0.9, (1, 50.0, 0.0, 60.0, 10.0)), ("d", 2, "y", 0.9, (2, 0.0, 0.0, 10.0, 10.0)), ("d", 3, "z", 0.9, (1, 1.0, 0.0, 11.0, 10.0)), ("e", 0, "x", 0.9, (1, 0.0, 0.0, 10.0, 10.0))]
+    fields = [("d", 0, "a", (1, 52.0, 0.0, 62.0, 10.0)), ("d", 1, "b", (1, 0.0, 0.0, 10.0, 10.0)), ("d", 2, "c", None)]
+    got = assign.map_boxes(spark.createDataFrame(found, f"doc_id string, ord int, label string, confidence double, box {box}"), spark.createDataFrame(fields, f"doc_id string, ord int, name string, box {box}")).collect()
+    assert sorted((r.doc_id, r.source_key, r.target_field, r.status) for r in got) == [("d", "x", "a", "mapped"), ("d", "x", "b", "mapped"), ("d", "y", "", "unmapped"), ("d", "z", "", "unmapped"), ("e", "x", "", "unmapped")]
+    assert {round(r.confidence, 6) for r in got} == {0.95, 0.0, round((0.7 * 8 / 12 + 0.3 * (1 - 2 / 200**0.5) + 0.9) / 2, 6)}
+
+
 def test_segments(spark):
     values = spark.createDataFrame([("d", "a__body_2", "three"), ("d", "a", "one"), ("d", "a__body", "two"), ("d", "b", "")], "doc_id string, name string, value string")
     assert [tuple(r) for r in segments.coalesce_segments(values).collect()] == [("d", "a", "one\ntwo\nthree")]
