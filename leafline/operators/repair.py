@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..sources.tables import discard, written
+from ..sources.tables import discard, spread, written
 
 
 def _v() -> Column:
@@ -171,25 +171,29 @@ def _families(rows: DataFrame) -> DataFrame:
     """Families of checkboxes: one option stays, the others and what belongs to them are emptied.
 
     Of several selected options the one with the highest confidence wins, ties to the first. An option's value is kept if its option wins,
-    unless it only repeats the option's name. Only the first field of a repeated key takes part.
+    unless it only repeats the option's name. Only the first field of a repeated key takes part. One window gives each row its family's few fields.
     """
-    place = {text_key: (f, role, k) for f, family in enumerate(FAMILIES) for k, (option, value, emptied) in enumerate(family) for text_key, role in ((option, "option"), (value, "value"), (emptied, "emptied")) if text_key}
-    known = F.from_json(F.lit(json.dumps({k: {"family": f, "role": r, "option": o} for k, (f, r, o) in place.items()})), "map<string,struct<family:int,role:string,option:int>>")
-    first = F.row_number().over(Window.partitionBy("doc_id", "nk").orderBy("ord")) == 1
-    rows = rows.withColumn("_at", F.when(first, F.try_element_at(known, _key())))
-    family = Window.partitionBy("doc_id", "_at.family")
-    option = Window.partitionBy("doc_id", "_at.family", "_at.option")
-    is_option = F.coalesce(F.col("_at.role") == "option", F.lit(False))
-    selected = is_option & (text.checkbox_state(text.normalize_text(_v())) == "true")
-    own = F.col("confidence")
+    place = {key: 16 * f + 3 * k + r for f, family in enumerate(FAMILIES) for k, keys in enumerate(family) for r, key in enumerate(keys) if key}
+    code = F.try_element_at(F.from_json(F.lit(json.dumps(place)), "map<string,int>"), _key())
+    own, at = F.col("confidence"), F.col("_code") % 16
+    selected = F.when(at % 3 == 0, text.checkbox_state(text.normalize_text(_v())) == "true")
+    member = F.struct(at.alias("at"), F.col("ord").alias("ord"), F.coalesce(selected, F.lit(False)).alias("selected"), own.alias("c"))
+    rows = rows.withColumn("_code", code).withColumn("_family", F.floor(F.col("_code") / 16).cast("int"))
+    rows = spread(rows, "doc_id", "_family").withColumn("_all", F.collect_list(F.when(F.col("_code").isNotNull(), member)).over(Window.partitionBy("doc_id", "_family")))
+    earlier = lambda i, o: F.exists("_all", lambda y: (y["at"] == i) & (y["ord"] < o))
+    rows = rows.withColumns({"_options": F.filter("_all", lambda x: (x["at"] % 3 == 0) & ~earlier(x["at"], x["ord"])), "_place": F.when(F.col("_code").isNotNull() & ~earlier(at, F.col("ord")), at)})
+    option, seen = F.floor(F.col("_place") / 3), F.col("_options")
+    chosen, mine = F.filter(seen, lambda x: x["selected"]), F.filter(seen, lambda x: x["at"] == option * 3)
+    trust = lambda xs: F.transform(xs, lambda x: x["c"])
     rows = rows.withColumns({
-        "_n": F.count_if(selected).over(family),
-        "_best": F.max(F.when(selected, F.struct(own.alias("c"), (-F.col("_at.option")).alias("o")))).over(family),
-        "_low": F.min(F.when(is_option & (own > 0), own)).over(family),
-        "_mine": F.max(F.when(is_option, own)).over(option),
-        "_there": F.coalesce(F.max(is_option).over(option), F.lit(False)),
+        "_n": F.size(chosen),
+        "_best": F.array_max(F.transform(chosen, lambda x: F.struct(x["c"].alias("c"), (-F.floor(x["at"] / 3)).alias("o")))),
+        "_low": F.array_min(trust(F.filter(seen, lambda x: x["c"] > 0))),
+        "_mine": F.array_max(trust(mine)),
+        "_there": F.size(mine) > 0,
     })
-    role, wins, conflict = F.col("_at.role"), F.coalesce(F.col("_at.option") == -F.col("_best.o"), F.lit(False)), F.col("_n") > 1
+    role = F.get(F.array(*map(F.lit, ("option", "value", "emptied"))), F.col("_place") % 3)
+    wins, conflict = F.coalesce(option == -F.col("_best.o"), F.lit(False)), F.col("_n") > 1
     name = F.regexp_replace(_key(), " (selected|yes|no)$", "")
     noise = (text.normalize_text(_v()) != "") & text.normalize_text(_v()).isin(_key(), name)
     ruled = F.coalesce((role == "option") | ((role == "value") & F.col("_there")) | ((role == "emptied") & wins), F.lit(False))
@@ -203,7 +207,7 @@ def _families(rows: DataFrame) -> DataFrame:
         "value": F.when(ruled, value).otherwise(_v()), "confidence": F.when(ruled, F.coalesce(low, own)).otherwise(own), "source_kind": F.when(ruled, "rule_family").otherwise(F.col("source_kind")),
         "review_reasons": F.when(ruled, F.array_union(F.array_except("review_reasons", drop), add)).otherwise(F.col("review_reasons")),
     })
-    return out.drop("_at", "_n", "_best", "_low", "_mine", "_there")
+    return out.drop("_code", "_family", "_all", "_options", "_place", "_n", "_best", "_low", "_mine", "_there")
 
 
 def _petition_fields(rows: DataFrame, cut) -> DataFrame:

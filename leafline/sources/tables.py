@@ -43,3 +43,11 @@ def discard(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys to as many partitions as ``spark.sql.shuffle.partitions`` says.
+
+    Spark merges the partitions of a shuffle by their compressed bytes; of rows that compress well, far more come to a task then than its sorts and hash tables hold.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -207,3 +207,18 @@ def test_crops_of_names_and_stations(spark):
     frame = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, label string, v string, c string")
     got = {r.i: r.b for r in frame.select("i", crops.better(F.col("label"), F.col("v"), F.col("c")).alias("b")).collect()}
     assert got == {i: r[3] for i, r in enumerate(rows)}
+
+
+def test_families_read_their_fields_once(spark):
+    """One sort by family, also with repeated keys, null confidences and fields of no family."""
+    rows = spark.createDataFrame(
+        [("d", 0, "time am", "yes", 0.4), ("d", 1, "time am", "off", 0.9), ("d", 2, "time pm", "x", None), ("d", 3, "other", "Other", 0.7), ("d", 4, "year", "yes", 0.2), ("d", 5, "other selected", "on", 0.3), ("e", 0, "passport no", "A1", 0.5)],
+        "doc_id string, ord int, nk string, value string, confidence double",
+    ).withColumns({"source_kind": F.lit("page"), "review_reasons": F.array(F.lit("missing_value"))})
+    out = repair._families(rows)
+    got = {(r.doc_id, r.ord): (r.value, r.confidence, r.source_kind, ",".join(r.review_reasons)) for r in out.collect()}
+    assert got == {
+        ("d", 0): ("yes", 0.4, "rule_family", ""), ("d", 1): ("off", 0.9, "page", "missing_value"), ("d", 2): ("", 0.4, "rule_family", "expected_empty"), ("d", 3): ("", 0.3, "rule_family", "missing_value"),
+        ("d", 4): ("yes", 0.2, "page", "missing_value"), ("d", 5): ("yes", 0.3, "rule_family", ""), ("e", 0): ("A1", 0.5, "page", "missing_value"),
+    }
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2  # once in the final plan and once in the first
