@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import confidence, text
+from ..sources.tables import spread
 from . import repair, review
 
 #: The least confidence of a mapping, that of a transcript without any, and the warnings that feedback quotes.
@@ -47,9 +48,10 @@ def extraction_results(values: DataFrame, mappings: DataFrame, least: float = LE
     Weak mappings are below ``least`` and their value isn't expected to be empty; they make an issue. The confidence is the mean over values and mappings together.
     values: doc_id, source_key, value, confidence, review_reasons; mappings: doc_id, source_key, target_field, confidence, status.
     """
-    blank = values.where(F.array_contains("review_reasons", "expected_empty")).select("doc_id", "source_key").distinct().withColumn("blank", F.lit(True))
+    key = ["doc_id", "source_key"]
+    blank = spread(values.where(F.array_contains("review_reasons", "expected_empty")).select(*key), *key).distinct().withColumn("blank", F.lit(True))
     weak = (F.col("confidence") < least) & F.col("blank").isNull()
-    own = mappings.join(blank, ["doc_id", "source_key"], "left").select("doc_id", F.lit(0).alias("v"), F.lit(1).alias("m"), weak.cast("int").alias("w"), "confidence", F.lit(0).alias("r"))
+    own = spread(mappings.select(*key, "confidence"), *key).join(blank, key, "left").select("doc_id", F.lit(0).alias("v"), F.lit(1).alias("m"), weak.cast("int").alias("w"), "confidence", F.lit(0).alias("r"))
     val = values.select("doc_id", F.lit(1).alias("v"), F.lit(0).alias("m"), F.lit(0).alias("w"), "confidence", F.lit(0).alias("r"))
     items = review.review_items(values, mappings).select("doc_id", F.lit(0).alias("v"), F.lit(0).alias("m"), F.lit(0).alias("w"), F.lit(None).cast("double").alias("confidence"), F.lit(1).alias("r"))
     by = own.unionByName(val).unionByName(items).groupBy("doc_id")

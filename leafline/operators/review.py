@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import spread
 
 #: Least rates for a release, by dataset and metric.
 GATES = [
@@ -24,7 +25,7 @@ def review_items(values: DataFrame, mappings: DataFrame) -> DataFrame:
     empty = ~F.array_contains("review_reasons", "expected_empty") & ~F.col("value").rlike(r"(?U)\S")
     blank = values.where(empty).select("doc_id", F.col("source_key").alias("key"), F.lit("missing_value").alias("reason"))
     weak = mappings.where("status <> 'mapped'").select("doc_id", F.col("source_key").alias("key"), F.lit("low_mapping_confidence").alias("reason"))
-    return reasons.unionByName(blank).unionByName(weak).distinct()
+    return spread(reasons.unionByName(blank).unionByName(weak), "doc_id", "key", "reason").distinct()
 
 
 def manual_queue(scores: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import matrix, naming, render, results
-from ..sources import regions
+from ..sources import regions, tables
 
 
 def _t(spark, d: str, name: str) -> DataFrame:
@@ -25,7 +25,8 @@ def evidence_values(spark, d):
 
 
 def _extraction(spark, d):
-    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("q"))
+    lines = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    rows = tables.spread(lines, "l_orderkey", "l_linenumber").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("q"))
     key = F.concat(F.lit("k"), F.col("ord").cast("string")).alias("source_key")
     reasons = F.when(F.col("q") % 5 == 0, F.array(F.lit("expected_empty"))).when(F.col("q") % 5 == 1, F.array(F.lit("ambiguous_date_family"))).otherwise(F.array().cast("array<string>"))
     values = rows.select("doc_id", "ord", key, F.when(F.col("q") % 3 == 0, "").otherwise(F.col("flag")).alias("value"), (F.col("q") / 40).alias("confidence"), F.col("flag").alias("raw_text"), F.lit("llm_page").alias("source_kind"), reasons.alias("review_reasons"))

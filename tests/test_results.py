@@ -70,3 +70,12 @@ def test_names(spark):
     assert one(naming.display_label(F.lit("__body"))) == "Continued Field" and one(naming.display_label(F.lit("it's_1st_ö"))) == "It'S 1St Ö"
     assert one(naming.footnote_label(F.lit("a_b_c"))) == "A B" and one(naming.safe_folder(F.lit("//"))) == "sample" and one(naming.anchor_key(F.lit(None).cast("string"))) == ""
     assert tuple(one(naming.placeholder_kind(F.lit(None).cast("string")))) == ("unknown", "unknown", 0.0) and one(naming.is_ticked(F.lit(None).cast("string"))) is False
+
+
+def test_results_are_dealt_to_all_partitions(spark):
+    """The joined and the distinct rows come by the session's number of partitions, not merged by their compressed bytes."""
+    values = spark.createDataFrame([("d", "k", "", 0.5, ["expected_empty"]), ("d", "l", "", 0.5, [])], "doc_id string, source_key string, value string, confidence double, review_reasons array<string>")
+    mappings = spark.createDataFrame([("d", "k", "t", 0.1, "mapped"), ("d", "l", "u", 0.1, "needs_review")], "doc_id string, source_key string, target_field string, confidence double, status string")
+    out = results.extraction_results(values, mappings)
+    assert out._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 3
+    assert out.select("n_values", "n_mappings", "weak_mappings", "review_items").first() == (2, 2, 1, 2)
